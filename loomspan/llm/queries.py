@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.common import table
-from loomspan.llm import languages, leaks, tokenizer
+from loomspan.common import WHITE, table
+from loomspan.llm import languages, leaks, splitting, tokenizer
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "sections"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).select("chunk_id").distinct()
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +52,15 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d).selectExpr("doc_id", "posexplode(segments) AS (segment, s)").selectExpr("doc_id", "segment", "s.lang", "s.confidence", "s.sentences", "s.text")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
+
+
+def _words(column: str) -> str:
+    return f"len(list_filter(string_split_regex(coalesce({column}, ''), '{WHITE}'), lambda w: w <> ''))"
+
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""SELECT DISTINCT c.id AS chunk_id FROM chunks c
+LEFT JOIN (SELECT id, max(breadcrumb) AS breadcrumb FROM sections GROUP BY 1) s ON s.id = c.section_id
+WHERE c.id IS NOT NULL AND c.text IS NOT NULL AND {_words("c.text")} + {_words("s.breadcrumb")} > 400""",
+}
