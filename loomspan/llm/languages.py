@@ -59,7 +59,7 @@ _QUOTED = re.compile(r"\(?[«“„「『\"](?:[^«»“”„「」『』\"\n.!
 _STOP = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+(?![a-zà-öø-ÿа-я])|(?<=[。！？])[」』”）]?\s*")
 _WHOLE = re.compile(r"[.!?…。！？][\"'»”)\]」』*_]*\s*$")
 _RUN = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def named_language(label: str | None) -> str | None:

@@ -31,7 +31,7 @@ _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|s|smal
 _OTHER = re.compile(_TAG, re.S)
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,10}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 # Characters that show nothing.
-_UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 _PIECE = re.compile(rf"(?:{_TAG}|\S)+", re.S)
 
 

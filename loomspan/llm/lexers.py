@@ -60,7 +60,7 @@ def _scan(pattern: re.Pattern, text: str, errors: dict[str, str]) -> list[Token]
 
 
 _JS = re.compile(
-    r"(?P<ws>[\s﻿]+)|(?P<com>//[^\r\n  ]*|/\*.*?\*/|\A#![^\r\n]*)|(?P<e1>/\*)"
+    r"(?P<ws>[\s\ufeff]+)|(?P<com>//[^\r\n  ]*|/\*.*?\*/|\A#![^\r\n]*)|(?P<e1>/\*)"
     r"|(?P<str>\"(?:\\(?:\r\n|.)|[^\"\\\r\n])*\"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*')"
     rf"|(?P<id>#?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{{4}})(?:[\w$]|\\u[0-9a-fA-F]{{4}})*)|(?P<num>{_NUM})"
     r"|(?P<op>=>|\.\.\.|\?\?=|\?\?|\?\.(?!\d)|\*\*=|\*\*|===|!==|==|!=|<<=|>>>=|>>>|>>=|<<|>>|<=|>=|&&=|\|\|=|&&|\|\||\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|/=|[-+*/%&|^!~<>=?:;,.()\[\]{}@])"
@@ -106,7 +106,7 @@ def javascript(text: str) -> list[Token]:
         m = _JS.match(text, at)
         kind, piece = m.lastgroup, m.group()
         if kind == "ws":
-            nl = nl or any(c in piece for c in "\n\r  ")
+            nl = nl or any(c in piece for c in "\n\r\u2028\u2029")
             at = m.end()
             continue
         if kind == "com":
@@ -181,7 +181,7 @@ def sql(text: str) -> list[Token]:
 _PY = re.compile(
     r"(?P<ws>[ \t\f]+|\\\r?\n|\\\r)|(?P<nl>\r\n|\n|\r)|(?P<com>#[^\r\n]*)"
     r"|(?P<f>(?:[fF][rR]?|[rR][fF])(?P<fq>'''|\"\"\"|'|\"))"
-    r"|(?P<str>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:'''(?:\\.|(?!''').)*'''|\"\"\"(?:\\.|(?!\"\"\").)*\"\"\"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*'|\"(?:\\(?:\r\n|.)|[^\"\\\r\n])*\"))"
+    r"|(?P<str>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:'''(?:\\.|(?!''').)*'''|\"\"\"(?:\\.|(?!\"\"\").)*\"\"\"|''(?!')|'(?!')(?:\\(?:\r\n|.)|[^'\\\r\n])+'|\"\"(?!\")|\"(?!\")(?:\\(?:\r\n|.)|[^\"\\\r\n])+\"))"
     r"|(?P<e0>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:'''|\"\"\"))|(?P<e1>(?:[rR][bB]?|[bB][rR]?|[uU])?['\"][^\r\n]*)"
     rf"|(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)|(?P<id>[^\W\d]\w*)"
     r"|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>=:;,.()\[\]{}])|(?P<e3>.)",
@@ -275,7 +275,7 @@ def _f_rest(text: str, at: int, quote: str) -> int:
 def python(text: str) -> list[Token]:
     """Tokens with nl, indent and dedent. Comments are kept; blank lines give no nl."""
     out: list[Token] = []
-    at, n = 1 if text.startswith("﻿") else 0, len(text)
+    at, n = 1 if text.startswith("\ufeff") else 0, len(text)
     indents, brackets, fresh, word = [0], [], True, False
     alt = [0]  # indents with tabs as one
     while at < n:

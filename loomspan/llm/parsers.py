@@ -29,7 +29,7 @@ class Reject(Exception):
 class Parser:
     """Tokens with one place; errors are collected as (place, message)."""
 
-    max_depth = 180  # nesting of expressions and statements that is followed; deeper is an error
+    max_depth = 1200  # nesting of expressions and statements that is followed; deeper is an error
 
     def __init__(self, text: str, tokens: list[Token], base: int = 0):
         self.text, self.base = text, base
@@ -910,7 +910,7 @@ def parse_python(text: str) -> list[Fault]:
 
 # XML
 
-_XML_NAME = r"[:A-Z_a-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff][\w:.\-·̀-ͯ‿⁀]*"
+_XML_NAME = r"[:A-Z_a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd\U00010000-\U000effff][\w:.\-\u00b7\u0300-\u036f\u203f\u2040]*"
 _XML_BAD = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _XML_TAG = re.compile(rf"<({_XML_NAME})")
 _XML_ATTR = re.compile(rf"\s+({_XML_NAME})\s*=\s*(\"[^<\"]*\"|'[^<']*')")
@@ -1436,10 +1436,13 @@ class YamlParser:
             self.i += 1
             self.flow_space()
             explicit = True
-        quoted = False
+        quoted, start = False, self.i
         if self.text[self.i] not in (",", close) and not (self.text[self.i] == ":" and self.text[self.i + 1] in " \t\n,]}"):
             quoted = self.flow_node()
+            end = self.i
             self.flow_space()
+            if self.text[self.i] == ":" and not explicit and "\n" in self.text[start:end]:
+                raise self.fail("key of several lines")
         elif not explicit and self.text[self.i] == ",":
             raise self.fail("empty entry in a flow collection")
         if self.text[self.i] == ":" and (quoted or self.text[self.i + 1] in " \t\n,]}"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.common import WHITE, table
-from loomspan.llm import languages, leaks, splitting, tokenizer
+from loomspan.llm import languages, leaks, splitting, syntax, tokenizer
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("chunk_id").distinct()
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_report(table(spark, d, "source_files"), table(spark, d, "sources"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_files(spark, d).filter("n_errors > 0").select("path").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_rates(p6_files(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -52,7 +64,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d).selectExpr("doc_id", "posexplode(segments) AS (segment, s)").selectExpr("doc_id", "segment", "s.lang", "s.confidence", "s.sentences", "s.text")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_files, p6_found, p6_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
 
 
 def _words(column: str) -> str:

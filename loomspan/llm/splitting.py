@@ -22,7 +22,7 @@ REACH = 0.2  # how far a target may move, as a share of a piece's length
 _TOKEN = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”»)\]*_`]*$")
 _CLAUSE = re.compile(r"[,;:、，；：][\"'”»)\]*_`]*$")
-_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)]|\||>)$")
 # Strengths of boundaries, from none to the start of a section.
 NONE, CLAUSE, LINE_OF_CODE, SENTENCE, LINE, ITEM, PARAGRAPH, SECTION = range(8)

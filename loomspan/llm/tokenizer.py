@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 FOLDER = os.environ.get("LOOMSPAN_TOKENIZERS", "/opt/tokenizers")
 # The white space of Unicode, which differs from that of Python's regular expressions.
-_S = r"\t-\r \x85\xa0  -     　"
+_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The public pre-split pattern of byte-level BPE.
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _KEPT_WORDS = 400_000  # words whose ids a worker keeps; beyond that it starts anew
