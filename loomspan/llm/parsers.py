@@ -1073,7 +1073,7 @@ def parse_xml(text: str) -> list[Fault]:
 _Y_PLAIN_FIRST = re.compile(r"[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[\-?:](?=[^\s])")
 _Y_QUOTED = re.compile(r"'(?:''|[^'])*'|\"(?:\\.|[^\"\\])*\"", re.S)
 _Y_ESCAPE = re.compile(r"\\(?!(?:[0abt\tnvfre \"/\\N_LP\n\r]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))", re.S)
-_Y_PROPS = re.compile(r"(?:(?:&[^\s,\[\]{}]+|!<[^\s>]*>|![^\s,\[\]{}]*)(?:[ \t]+|(?=[\r\n]|$)))+")
+_Y_PROPS = re.compile(r"(?:(?:&[^\s,\[\]{}]+|!<[^\s>]*>|![^\s,\[\]{}]*)(?:[ \t]+|(?=[\r\n,\]}]|$)))+")
 
 
 class YamlParser:
