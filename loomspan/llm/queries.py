@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.common import WHITE, table
-from loomspan.llm import languages, leaks, splitting, syntax, tokenizer
+from loomspan.llm import doc_pairs, languages, leaks, splitting, syntax, tokenizer
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("chunk_id").distinct()
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return doc_pairs.documented_pairs(*(table(spark, d, t) for t in ("code_entities", "source_files", "sources")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pairs(spark, d).select("qualified_name")
+
+
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_report(table(spark, d, "source_files"), table(spark, d, "sources"))
 
@@ -64,7 +72,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d).selectExpr("doc_id", "posexplode(segments) AS (segment, s)").selectExpr("doc_id", "segment", "s.lang", "s.confidence", "s.sentences", "s.text")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_files, p6_found, p6_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p4_pairs, p4_found, p6_files, p6_found, p6_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
 
 
 def _words(column: str) -> str:
