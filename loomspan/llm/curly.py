@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomspan.llm import lexers
-from loomspan.llm.lexers import Token
+from loomspan.sources import lexers
+from loomspan.sources.lexers import Token
 from loomspan.llm.parsers import Fault, Parser
 
 # Reserved words of Java, its primitive types, modifiers and binary operators by precedence.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.common import current_rows
-from loomspan.llm import lexers
+from loomspan.sources import lexers
 from loomspan.llm.syntax import language_of
 
 KINDS = ("function", "method", "constructor", "procedure")

@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
-from loomspan.llm import lexers
-from loomspan.llm.lexers import Token
+from loomspan.sources import lexers
+from loomspan.sources.lexers import Token
 
 
 class Fault(NamedTuple):
