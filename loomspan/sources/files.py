@@ -112,8 +112,10 @@ SCHEMAS = {
 
 
 def records(parsed: DataFrame, tag: str) -> DataFrame:
-    """The typed table of one tag, with the path it came from."""
-    return parsed.filter(F.col("tag") == tag).select("path", F.from_json("record", SCHEMAS[tag]).alias("r")).select("path", *(F.col(f"r.{f.split()[0]}") for f in _fields(SCHEMAS[tag])))
+    """The typed table of one tag, with the path it came from, unless the record has a path of its own."""
+    names = [f.split()[0] for f in _fields(SCHEMAS[tag])]
+    own = [] if "path" in names else ["path"]
+    return parsed.filter(F.col("tag") == tag).select("path", F.from_json("record", SCHEMAS[tag]).alias("r")).select(*own, *(F.col(f"r.{n}") for n in names))
 
 
 def _fields(schema: str) -> list[str]:
