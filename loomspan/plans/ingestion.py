@@ -60,9 +60,9 @@ class Project:
         self.t = {tag: S.records(parsed, tag) for tag in S.SCHEMAS}
         self.sources = files.select("path")
         members = D.lombok_members(self.t["entity"], self.t["field"], self.t["annotation"])
-        self.entities = self.t["entity"].unionByName(members, allowMissingColumns=True)
         self.annotations = self.t["annotation"]
-        self.beans = D.beans(self.entities, self.annotations)
+        self.entities = cut(self.t["entity"].unionByName(members, allowMissingColumns=True))
+        self.beans = cut(D.beans(self.entities, self.annotations))
 
 
 def resolver_modules(spark: SparkSession, d: str) -> DataFrame:
