@@ -230,7 +230,10 @@ _LEGAL = re.compile(
     r"(?i)copyright|\(c\)\s*\d{4}|©|all rights reserved|licen[cs]ed? |under the .*licen[cs]e|spdx-|no warranty|warranties|without warranty|"
     r"auto-?generated|^\W*generated\b|generated (?:by|from|code|with|file)|do not (?:edit|modify)|created by .*generator|changes will be lost|@generated"
 )
-_REFERENCE = re.compile(r"(?i)^\W*(?:@?see(?: also)?\b(?:\W*(?:[#\w.]*[#.(]\S*|\{@link.*|above|below|there|docs?|documentation|readme|https?:\S+|super\w*|parent|base|interface)\W*)*$|\(?non-javadoc\)?|@?inherit(?:ed)?-?docs?\b|@override\b|overrides?\W*$|https?://\S+\W*$)")
+_REFERENCE = re.compile(
+    r"(?i)^\W*(?:@?see(?: also)?\b(?:\W+(?:the|other|above|below|there|docs?|documentation|readme|manual|super\w*|parent|base|class|interface|method|function|of|in|for|[#\w.]*[#.(]\S*|\{@link[^}]*\}|https?:\S+))*\W*$"
+    r"|\(?non-javadoc\)?|@?inherit(?:ed)?-?docs?\b|@override\b|overrides?\W*$|https?://\S+\W*$)"
+)
 _TASK = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|hack)\s*(?:\([^)]*\))?\s*:\s*[^.!?]*(?:[.!?]+|$)")
 _MARKER = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|hack)\b(?:\s*\([^)]*\)\s*:?)?|\bTODO\b|\bFIXME\b|\bXXX\b")
 _TAG = re.compile(r"^\s*(?:[@\\](\w+)|:(\w+)(?:\s+[^:\n]*)?:)")

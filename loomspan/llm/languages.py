@@ -225,7 +225,7 @@ def mixtures(scores: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 15)
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """Whole labelled documents, about per_language at most of each language, drawn by hash of the id."""
-    name = F.udf(named_language)  # of distinct labels only
+    name = F.udf(named_language, "string", useArrow=False)  # of distinct labels only
     labels = docs.groupBy("lang").count()
     codes = {r.lang: (r.code, r["count"]) for r in labels.withColumn("code", name("lang")).filter("code IS NOT NULL").toLocalIterator()}
     total: Counter = Counter()

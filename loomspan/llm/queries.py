@@ -10,7 +10,7 @@ from loomspan.llm import doc_pairs, languages, leaks, neighbours, splitting, syn
 
 
 #: Parameters that bring the ten nearest of hundreds of thousands of vectors to a recall of 0.9.
-NEAREST = {"trees": 24, "rounds": 3, "leaf": 8192}
+NEAREST = {"trees": 18, "rounds": 2, "leaf": 8192}
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
