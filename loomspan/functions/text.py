@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.common import words
@@ -52,7 +52,7 @@ def simple_name(c: Column) -> Column:
 
 def decapitalised(c: Column) -> Column:
     """A type's name as the name of its instance: first letter small, unless the second is a capital too."""
-    return F.when(c.rlike(r"^.\p{Lu}"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.expr("substring({}, 2)".format("name")) if False else F.substring(c, 2, 1 << 30)))
+    return F.when(c.rlike(r"^.\p{Lu}"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30)))
 
 
 def redacted(key: Column, value: Column) -> Column:
@@ -80,6 +80,17 @@ def word_windows(text: Column, size: int = 400, overlap: int = 60) -> Column:
     )
 
 
+def word_chunks(rows: DataFrame, text: str, keep: list[str], size: int = 400, overlap: int = 60) -> DataFrame:
+    """keep, chunk_order, chunk_text and token_count: word_windows() as rows. The words are split once per
+    row and windows cut behind the explosion, so that nothing is evaluated again for each window."""
+    step = size - overlap
+    worded = rows.select(*keep, words(F.coalesce(F.col(text), F.lit(""))).alias("_ws")).filter(F.size("_ws") > 0)
+    n = F.size("_ws")
+    at = worded.select(*keep, "_ws", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")))).alias("chunk_order"))
+    cut = at.withColumn("_w", F.slice("_ws", F.col("chunk_order") * step + 1, size))
+    return cut.select(*keep, "chunk_order", F.array_join("_w", " ").alias("chunk_text"), F.size("_w").alias("token_count"))
+
+
 def citation(path: Column, breadcrumb: Column, start: Column, end: Column) -> Column:
     """Path, breadcrumb and pages, as far as there are any."""
     pages = F.when(start.isNull(), "").when(end.isNull() | (start == end), F.concat(F.lit(" (p. "), start, F.lit(")"))).otherwise(

@@ -57,21 +57,24 @@ def bm25(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, score) of the rows that hold a word of the query. Statistics cover all rows. One pass counts,
     one scores; nothing is shuffled but one row of counts per task. A query without words scores none."""
     terms = sorted(set(re.findall(r"[^\W]+", query.lower())))
-    counted = rows.select(key, tokens(F.coalesce(text, F.lit(""))).alias("_t")).select(
-        key, F.size("_t").alias("_dl"), *(_count(t).alias(f"_tf{i}") for i, t in enumerate(terms))
+    counted = (
+        rows.select(key, tokens(F.coalesce(text, F.lit(""))).alias("_all"))
+        .select(key, F.size("_all").alias("_dl"), F.filter("_all", lambda x: x.isin(*terms) if terms else F.lit(False)).alias("_t"))
+        .select(key, "_dl", F.size("_t").alias("_hits"), *(_count(t).alias(f"_tf{i}") for i, t in enumerate(terms)))
     )
     if not terms:
         return counted.select(key, F.lit(0.0).alias("score")).limit(0)
     stats = counted.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).alias("s")
     )
-    scored = counted.withColumn("_s", stats.scalar())
+    # A filter on the score would be pushed below the counts, which then were computed once per mention.
+    scored = counted.filter("_hits > 0").withColumn("_s", stats.scalar())
     total = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"_tf{i}"), F.col(f"_s.df{i}")
         idf = F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5))
         total = total + F.when(tf > 0, idf * tf / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_s.avgdl")))).otherwise(0.0)
-    return scored.select(key, F.round(total, 9).alias("score")).filter("score > 0")
+    return scored.select(key, F.round(total, 9).alias("score"))
 
 
 def min_max(score: str, by: list[str] | None = None) -> Column:

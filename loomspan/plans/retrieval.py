@@ -86,8 +86,8 @@ def query_expansions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "documents").select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("c"))
-    return parts.select("doc_id", F.col("c.order").alias("chunk_order"), F.col("c.token_count").alias("token_count"), F.sha2("c.text", 256).alias("content_hash"))
+    parts = T.word_chunks(table(spark, d, "documents"), "text", ["doc_id"])
+    return parts.select("doc_id", "chunk_order", "token_count", F.sha2("chunk_text", 256).alias("content_hash"))
 
 
 def chunk_next(spark: SparkSession, d: str) -> DataFrame:
