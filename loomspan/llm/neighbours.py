@@ -92,6 +92,14 @@ class Forest:
         return node - (2**self.depth - 1)
 
 
+def _mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of two ids each, which draws the same edges however rows are spread."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
 def _pack(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
     """Rows (id, near) of the `keep` best distinct others of each owner; near is their ids and cosines."""
     order = np.lexsort((other, -sim, owner))
@@ -189,7 +197,7 @@ def _first_graph(points: DataFrame, forest: Forest, trees: list[int], leaf: int)
                     yield _pack(np.repeat(own[s : s + 512], k), own[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), KEPT)
 
     tasks = max(24, per_tree * len(trees) // 2)
-    return blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(compare, "id long, near binary")
+    return blocks.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(compare, "id long, near binary")
 
 
 def _descend(points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
@@ -197,10 +205,9 @@ def _descend(points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     vector sends SPREAD edges, so groups are bounded; one that many name is split by AQE in the join."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(turn)
         for batch in batches:
             owner, other, _ = _unpack(np.asarray(batch.column(0)), batch.column(1).to_pylist())
-            order = np.lexsort((rng.random(len(owner)), owner))
+            order = np.lexsort((_mixed(owner, other, turn), owner))
             owner, other = owner[order], other[order]
             start = np.flatnonzero(np.diff(owner, prepend=-1))
             rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
@@ -233,20 +240,26 @@ def _descend(points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
         .join(points.select("id", "code").join(graph.mapInArrow(least, "id long, worst float"), "id"), "id")
         .select("via", "id", "code", "worst")
     )
-    return meetings.repartition("via").sortWithinPartitions("via").mapInArrow(meet, "id long, near binary")
+    return meetings.repartition("via").sortWithinPartitions("via", "id").mapInArrow(meet, "id long, near binary")
 
 
 def indexed(vectors: DataFrame) -> DataFrame:
-    """points (id, key, code), written to the shared folder."""
-    return spill(encoded(vectors).withColumn("id", F.monotonically_increasing_id()).select("id", "key", "code"), "points")
+    """points (id, key, code), written to the shared folder. Ids are a hash of the key, so that nothing
+    follows the partitioning; should two keys share one, all are hashed anew with the next salt."""
+    rows, salt = spill(encoded(vectors), "vectors"), 0
+    while True:
+        named = rows.withColumn("id", F.xxhash64(F.lit(salt), "key").bitwiseAND(F.lit(2**63 - 1)))
+        if named.groupBy("id").count().filter("count > 1").isEmpty():
+            return spill(named.select("id", "key", "code"), "points")
+        salt += 1
 
 
 def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
     """graph (id, near): the KEPT nearest vectors found of each point. A collection of one has no rows."""
     n = points.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = points.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).select("code")
-    codes = [r.code for r in sample.toLocalIterator()] or [bytes([1] * DIMENSIONS)]
+    sample = points.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id", "code")
+    codes = [code for _, code in sorted((r.id, r.code) for r in sample.toLocalIterator())] or [bytes([1] * DIMENSIONS)]
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     forest = Forest(_floats(np.frombuffer(b"".join(bytes(c) for c in codes), np.int8).reshape(len(codes), -1)), trees, depth)
     graph: DataFrame | None = None

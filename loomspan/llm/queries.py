@@ -37,7 +37,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d)
     points = neighbours.indexed(vectors)
-    return neighbours.close_pairs(vectors, points, neighbours.neighbour_graph(points)).select("key_a", "key_b")
+    return neighbours.close_pairs(vectors, points, neighbours.neighbour_graph(points, **NEAREST)).select("key_a", "key_b")
 
 
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:

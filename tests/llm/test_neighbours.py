@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomspan.llm import neighbours as N
+from loomspan.llm import queries
 
 
 def frame(spark, x, prefix="k"):
@@ -52,3 +53,19 @@ def test_many_copies_are_cut_into_blocks(spark):
     graph = N.neighbour_graph(points, trees=3, rounds=1, leaf=100)
     assert graph.count() == 1200
     assert N.graph_edges(graph).join(points.filter("key < 'k00900'"), "id").groupBy("id").agg(F.min("cosine").alias("c")).filter("c > 0.99").count() == 900
+
+
+def test_graph_does_not_follow_the_partitions(spark):
+    vectors = frame(spark, np.random.default_rng(2).normal(size=(1500, 64)))
+    graphs = []
+    for n in (1, 5):
+        points = N.indexed(vectors.repartition(n).sortWithinPartitions(F.xxhash64("key", F.lit(n))))
+        graphs.append({tuple(r) for r in N.nearest(points, N.neighbour_graph(points, trees=2, rounds=1, leaf=100)).select("key", "neighbour", "rank").collect()})
+    assert graphs[0] == graphs[1]
+
+
+def test_close_pairs_use_the_graph_of_the_nearest(spark, data, monkeypatch):
+    asked, real = [], N.neighbour_graph
+    monkeypatch.setattr(N, "neighbour_graph", lambda points, **given: asked.append(given) or real(points, **given))
+    queries.p5_found(spark, data)
+    assert asked == [queries.NEAREST]
