@@ -2,7 +2,7 @@
 
 NN-descent: a first neighbour graph comes from a forest of random-projection trees, whose leaves are
 compared in blocks; rounds of Spark joins then bring together the neighbours of each vector, which may
-be neighbours of each other. New queries are answered by greedy search over the graph.
+be neighbours of each other, until a round changes hardly an edge. New queries are answered by greedy search over the graph.
 
 Vectors travel as codes of one byte per dimension, which keep a cosine within about 0.004. Nothing but
 the trees, grown on a bounded sample, is sent to all tasks. Each vector has a bounded number of rows in
@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.common import cut, spill
+from loomspan.common import cut, cut_counting, spill
 
 DIMENSIONS = 64
 KEPT = 10  # neighbours of a vector in the graph
 LEAF = 4096  # vectors of a tree's leaf, about; a block has at most twice as many
 TREES, TREES_AT_ONCE = 9, 3
-ROUNDS = 1  # of joins of neighbours of neighbours
-SPREAD = 7  # neighbours of a vector that meet in a round, drawn anew each time
+ROUNDS = 1  # of joins of neighbours of neighbours, at least
+SETTLED = 0.001  # share of edges changed in a round at which rounds end
+HOT = 128  # vectors naming one that meet at it in one block, about
+MEETINGS = 4  # parts of a round over a large collection, one after the other, so that its shuffle files stay small
 SAMPLE = 40_000  # vectors that the trees are grown on, about at most
 CLOSE = 0.95  # cosine of a close pair
 _SLACK = 0.01  # by which codes may understate a cosine
@@ -92,14 +94,6 @@ class Forest:
         return node - (2**self.depth - 1)
 
 
-def _mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of two ids each, which draws the same edges however rows are spread."""
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) + np.uint64(seed)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31))
-
-
 def _pack(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
     """Rows (id, near) of the `keep` best distinct others of each owner; near is their ids and cosines."""
     order = np.lexsort((other, -sim, owner))
@@ -200,18 +194,33 @@ def _first_graph(points: DataFrame, forest: Forest, trees: list[int], leaf: int)
     return blocks.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(compare, "id long, near binary")
 
 
-def _descend(points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
-    """Rows (id, near) of better neighbours: the neighbours of each vector meet and are compared. Every
-    vector sends SPREAD edges, so groups are bounded; one that many name is split by AQE in the join."""
+def _links(graph: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Rows (owner, other, fresh): the edges of a graph; fresh are those that the graph before hadn't."""
+    empty = F.lit(None).cast("binary").alias("old")
+    both = graph.select("id", "near", empty) if before is None else graph.join(before.select("id", F.col("near").alias("old")), "id", "left").select("id", "near", "old")
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, other, _ = _unpack(np.asarray(batch.column(0)), batch.column(1).to_pylist())
-            order = np.lexsort((_mixed(owner, other, turn), owner))
-            owner, other = owner[order], other[order]
-            start = np.flatnonzero(np.diff(owner, prepend=-1))
-            rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
-            yield pa.RecordBatch.from_arrays([pa.array(other[rank < SPREAD]), pa.array(owner[rank < SPREAD])], names=["id", "via"])
+            ids = np.asarray(batch.column(0))
+            owner, other, _ = _unpack(ids, batch.column(1).to_pylist())
+            held, known, _ = _unpack(ids, [b or b"" for b in batch.column(2).to_pylist()])
+            order = np.lexsort((np.repeat([0, 1], [len(held), len(owner)]), np.append(known, other), np.append(held, owner)))
+            a, b = np.append(held, owner)[order], np.append(known, other)[order]
+            seen = np.zeros(len(a), bool)
+            seen[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array(~seen[len(held) :])], names=["owner", "other", "fresh"])
+
+    return both.mapInArrow(run, "owner long, other long, fresh boolean")
+
+
+def _descend(points: DataFrame, graph: DataFrame, links: DataFrame, turn: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows (id, near) of better neighbours: all vectors that a vector names and all that name it meet at
+    it and are compared, if any of these edges is fresh. part: of so many
+    parts of the vectors met at.
+
+    Where more than HOT name one vector, these are spread over blocks by a hash, drawn anew in each round,
+    and the vectors that it names are in every block. So groups are bounded, and whoever names it meets
+    all that it names."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,28 +228,36 @@ def _descend(points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worst, pa.float32())], names=["id", "worst"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for via, (ids, codes, worst) in _whole_groups(batches, 40_000):
-            ids, x, worst = np.asarray(ids), _floats(_codes(codes)), np.asarray(worst)
-            start = np.flatnonzero(np.diff(via, prepend=-1))
-            size = np.diff(np.append(start, len(via)))
+        for group, (ids, codes, worst) in _whole_groups(batches, 40_000):
+            ids = np.asarray(ids)
+            once = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))  # those that name each other came twice
+            group, ids, x, worst = group[once], ids[once], _floats(_codes(codes))[once], np.asarray(worst)[once]
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(start, len(group)))
             owner, other, sim = [], [], []
             for m in np.unique(size[size > 1]):
                 at = start[size == m][:, None] + np.arange(m)
-                s = np.matmul(x[at], x[at].transpose(0, 2, 1))
-                better = (s > worst[at][:, :, None]) & ~np.eye(m, dtype=bool)
-                g, a, b = np.nonzero(better)
-                owner.append(ids[at[g, a]])
-                other.append(ids[at[g, b]])
-                sim.append(s[g, a, b])
+                for few in np.array_split(at, -(-at.size * int(m) // 8_000_000)):
+                    s = np.matmul(x[few], x[few].transpose(0, 2, 1))
+                    g, a, b = np.nonzero((s > worst[few][:, :, None]) & ~np.eye(m, dtype=bool))
+                    owner.append(ids[few[g, a]])
+                    other.append(ids[few[g, b]])
+                    sim.append(s[g, a, b])
             if owner:
                 yield _pack(np.concatenate(owner), np.concatenate(other), np.concatenate(sim), KEPT)
 
+    forth = links.select(F.col("owner").alias("via"), F.col("other").alias("id"), "fresh", F.lit(0).alias("names"))
+    back = links.select(F.col("other").alias("via"), F.col("owner").alias("id"), "fresh", F.lit(1).alias("names"))
+    members = forth.unionByName(back).filter(F.pmod(F.xxhash64("via"), F.lit(parts)) == part)
+    met = members.groupBy("via").agg(F.sum("names").alias("n"), F.max("fresh").alias("fresh")).filter("fresh").select("via", F.greatest(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int")
+    placed = members.join(met, "via").select("via", "id", F.explode(F.when(F.col("names") == 1, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
     meetings = (
-        graph.mapInArrow(edges, "id long, via long")
-        .join(points.select("id", "code").join(graph.mapInArrow(least, "id long, worst float"), "id"), "id")
-        .select("via", "id", "code", "worst")
+        placed.select("id", F.xxhash64("via", "block").alias("group"))
+        .join(points.select("id", "code").join(graph.mapInArrow(least, "id long, worst float"), "id", "left"), "id")
+        .select("group", "id", "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
     )
-    return meetings.repartition("via").sortWithinPartitions("via", "id").mapInArrow(meet, "id long, near binary")
+    return meetings.repartition("group").sortWithinPartitions("group", "id").mapInArrow(meet, "id long, near binary")
 
 
 def indexed(vectors: DataFrame) -> DataFrame:
@@ -255,7 +272,8 @@ def indexed(vectors: DataFrame) -> DataFrame:
 
 
 def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
-    """graph (id, near): the KEPT nearest vectors found of each point. A collection of one has no rows."""
+    """graph (id, near): the KEPT nearest vectors found of each point. A collection of one has no rows.
+    rounds: of joins at least; they go on until the share of edges that a round changed is at most SETTLED."""
     n = points.count()
     share = min(1.0, SAMPLE / max(n, 1))
     sample = points.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id", "code")
@@ -269,10 +287,17 @@ def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS,
         _release(points.sparkSession)
         if depth == 0:  # one leaf holds all: the graph is exact
             return graph
-    for turn in range(rounds):
-        graph = cut(merged(graph.unionByName(_descend(points, graph, turn))))
-        _release(points.sparkSession)
-    return graph
+    before, turn = None, 0
+    while True:
+        links, seen = cut_counting(_links(graph, before), fresh=F.sum(F.col("fresh").cast("long")), edges=F.count(F.lit(1)))
+        if not seen["edges"] or (turn >= rounds and seen["fresh"] <= SETTLED * seen["edges"]):
+            return graph
+        before = graph
+        parts = min(MEETINGS, 1 + n // 50_000)
+        for part in range(parts):
+            graph = cut(merged(graph.unionByName(_descend(points, graph, links, turn, part, parts))))
+            _release(points.sparkSession)
+        turn += 1
 
 
 def graph_edges(graph: DataFrame) -> DataFrame:

@@ -69,3 +69,30 @@ def test_close_pairs_use_the_graph_of_the_nearest(spark, data, monkeypatch):
     monkeypatch.setattr(N, "neighbour_graph", lambda points, **given: asked.append(given) or real(points, **given))
     queries.p5_found(spark, data)
     assert asked == [queries.NEAREST]
+
+
+def test_rounds_go_on_until_the_graph_settles(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    x[:, 8:] *= 0.3
+    points = N.indexed(frame(spark, x))
+    found: dict = {}
+    for r in N.nearest(points, N.neighbour_graph(points, trees=3, rounds=1, leaf=50)).collect():
+        found.setdefault(r.key, set()).add(r.neighbour)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    best = np.argsort(-sim, axis=1)[:, :10]
+    assert np.mean([len(found[f"k{n:05d}"] & {f"k{m:05d}" for m in row}) / 10 for n, row in enumerate(best)]) >= 0.9
+
+
+def test_whoever_names_a_vector_meets_all_that_it_names(spark):
+    rng = np.random.default_rng(6)
+    points = N.indexed(frame(spark, rng.normal(size=(402, 64))))
+    ids = {r.key: r.id for r in points.collect()}
+    hub, last = ids["k00400"], ids["k00401"]
+    links = [(ids[f"k{n:05d}"], hub) for n in range(400)] + [(hub, last)]  # 400 name the hub, none names them
+    rows = [(a, np.array([b], "<i8").tobytes() + np.array([-1.0], "<f4").tobytes()) for a, b in links]
+    graph = spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "id long, near binary")
+    met = {(r.id, r.other) for r in N.graph_edges(N._descend(points, graph, N._links(graph, None), 0)).collect()}
+    assert {a for a, _ in met} == {*ids.values()} - {hub}
+    assert len({a for a, b in met if b == last} | {b for a, b in met if a == last}) >= 10
