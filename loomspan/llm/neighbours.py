@@ -121,8 +121,8 @@ def _unpack(ids: np.ndarray, near: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int, most: int | None = None) -> Iterator[tuple[np.ndarray, list]]:
-    """Runs of rows whose first column repeats are kept together, at least `least` rows at a time; a run of
-    more than `most` rows is cut. Columns after the first as Arrow arrays."""
+    """Runs of rows whose first column repeats are kept together, at least `least` rows at a time; a run that
+    by itself has more than `most` rows is cut. Columns after the first as Arrow arrays."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -132,7 +132,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int, most: int | Non
             continue
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         first = np.asarray(table.column(0))
-        stop = int(np.searchsorted(first, first[-1], side="left")) if most is None or n < most else n
+        stop = int(np.searchsorted(first, first[-1], side="left"))
+        if most is not None and n - stop > most:
+            stop = n
         if stop:
             yield first[:stop], [c.slice(0, stop) for c in table.columns[1:]]
         held, n = [table.slice(stop)], n - stop

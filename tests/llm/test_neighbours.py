@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomspan.llm import neighbours as N
@@ -96,3 +97,11 @@ def test_whoever_names_a_vector_meets_all_that_it_names(spark):
     met = {(r.id, r.other) for r in N.graph_edges(N._descend(points, graph, N._links(graph, None), 0)).collect()}
     assert {a for a, _ in met} == {*ids.values()} - {hub}
     assert len({a for a, b in met if b == last} | {b for a, b in met if a == last}) >= 10
+
+
+def test_runs_are_cut_only_when_long_themselves():
+    keys = np.repeat([1, 2, 3], [90, 90, 250])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 64]), pa.array(np.arange(a, min(a + 64, len(keys))))], names=["key", "n"]) for a in range(0, len(keys), 64)]
+    parts = [first.tolist() for first, _ in N._whole_groups(batches, 1, 120)]
+    assert sum(parts, []) == keys.tolist()
+    assert [sum(k in part for part in parts) for k in (1, 2)] == [1, 1] and sum(3 in part for part in parts) > 1
