@@ -345,12 +345,14 @@ def close_pairs(vectors: DataFrame, points: DataFrame, graph: DataFrame, least:
     return both.withColumn("cosine", cosine).filter(F.col("cosine") >= least).select("key_a", "key_b", F.round("cosine", 6).alias("cosine"))
 
 
-def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = KEPT, beam: int = 40, steps: int = 6, entries: int = 64) -> DataFrame:
+def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = KEPT, beam: int = 40, steps: int | None = None, entries: int = 64, others: bool = False) -> DataFrame:
     """query, key, rank, cosine: the `top` nearest points of each query (query, code) by greedy search.
 
-    Every query starts at the same `entries` points, drawn by hash. In each step the beam's best points
-    are joined with the graph, their neighbours with the points, and the `beam` best stay. Queries and
-    points of other widths don't mix. No queries or no points give no rows.
+    Every query starts at the same `entries` points, drawn by hash. In each step the beam's points that
+    came in last are joined with the graph, their neighbours with the points, and the `beam` best stay,
+    until no query's beam changes; `steps`, if given, ends it before. others: queries are keys of points,
+    which aren't answers to themselves. Queries and points of other widths don't mix. No queries or no
+    points give no rows.
     """
     start = points.orderBy(F.xxhash64("key")).limit(entries).select(F.collect_list("id").alias("ids"))
     found = queries.select("query", F.col("code").alias("q")).withColumn("id", F.explode(start.scalar()))
@@ -370,9 +372,17 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = K
         ranked = rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id)"))
         return ranked.filter(F.col("rank") <= n)
 
-    held = cut(best(scored(found.select("query", "q", "id")), beam))
-    for _ in range(steps):
-        fresh = held.select("query", "q", "id").join(edges, "id").select("query", "q", F.col("other").alias("id")).distinct()
+    held = cut(best(scored(found.select("query", "q", "id")).withColumn("open", F.lit(True)), beam).drop("rank"))
+    taken = 0
+    while steps is None or taken < steps:
+        fresh = held.filter("open").select("query", "q", "id").join(edges, "id").select("query", "q", F.col("other").alias("id")).distinct()
         fresh = fresh.join(held.select("query", "id"), ["query", "id"], "left_anti").select("query", "q", "id")
-        held = cut(best(held.drop("rank").unionByName(scored(fresh)), beam))
-    return best(held.drop("rank"), top).join(points.select("id", "key"), "id").select("query", "key", "rank", F.round("cosine", 4).alias("cosine"))
+        rows = held.withColumn("open", F.lit(False)).unionByName(scored(fresh).withColumn("open", F.lit(True)))
+        held, seen = cut_counting(best(rows, beam).drop("rank"), open=F.count_if("open"))
+        if not seen["open"]:
+            break
+        taken += 1
+    named = held.join(points.select("id", "key"), "id")
+    if others:
+        named = named.filter(F.col("key") != F.col("query").cast("string"))
+    return best(named, top).select("query", "key", "rank", F.round("cosine", 4).alias("cosine"))

@@ -46,11 +46,11 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_search(spark: SparkSession, d: str) -> DataFrame:
-    """Queries: every vector of embeddings whose id is divisible by 50, against all of them."""
+    """Queries: every vector of embeddings whose id is divisible by 50, against all others."""
     points = neighbours.indexed(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "embedding"))
-    graph = neighbours.neighbour_graph(points, leaf=128)
+    graph = neighbours.neighbour_graph(points, **NEAREST)
     queries = points.filter("CAST(key AS BIGINT) % 50 = 0").select(F.col("key").alias("query"), "code")
-    return neighbours.search(points, graph, queries)
+    return neighbours.search(points, graph, queries, others=True)
 
 
 def p6_files(spark: SparkSession, d: str) -> DataFrame:

@@ -105,3 +105,32 @@ def test_runs_are_cut_only_when_long_themselves():
     parts = [first.tolist() for first, _ in N._whole_groups(batches, 1, 120)]
     assert sum(parts, []) == keys.tolist()
     assert [sum(k in part for part in parts) for k in (1, 2)] == [1, 1] and sum(3 in part for part in parts) > 1
+
+
+def test_search_goes_on_until_beams_settle(spark):
+    turn = np.arange(1500) * 2 * np.pi / 1500
+    x = np.zeros((1500, 64))
+    x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)  # a ring: far from the entries, a step goes five points on
+    points = N.indexed(frame(spark, x))
+    ids = [r.id for r in points.orderBy("key").collect()]
+    near = [(ids[n], [ids[(n + k) % 1500] for k in (1, -1, 2, -2, 3, -3, 4, -4, 5, -5)]) for n in range(1500)]
+    graph = spark.createDataFrame([(a, bytearray(np.array(b, "<i8").tobytes() + np.ones(10, "<f4").tobytes())) for a, b in near], "id long, near binary")
+    queries_ = points.filter("key IN ('k00100', 'k00600')").select(F.col("key").alias("query"), "code")
+    answers = N.search(points, graph, queries_, entries=1, beam=20, others=True).collect()
+    assert len(answers) == 20 and all(r.key != r.query and r.cosine > 0.99 for r in answers)
+
+
+def test_registered_search_against_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("key"), "embedding").toPandas()
+    x = np.array(rows.embedding.tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found: dict = {}
+    for r in queries.p5_search(spark, data).collect():
+        found.setdefault(r.query, set()).add(r.key)
+    hits = []
+    for n in np.flatnonzero(rows.key.astype(int).to_numpy() % 50 == 0):
+        sim = x @ x[n]
+        sim[n] = -2
+        assert rows.key[n] not in found[rows.key[n]]
+        hits.append(len(found[rows.key[n]] & set(rows.key[np.argsort(-sim)[:10]])) / 10)
+    assert np.mean(hits) >= 0.9
