@@ -37,14 +37,21 @@ def parsed_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The sections of a stream of files, in two rounds of which the second changes and adds some."""
+    """Rows of every table of a stream of files, in two rounds of which the second changes and adds some;
+    those of entities by language and kind."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     files = table(spark, d, "source_files").filter("content IS NOT NULL").select("path", "content", F.sha2("content", 256).alias("content_hash"))
     store = I.TableStore(spark, f"{folder}/tables")
-    I.merge_batch(store, files.filter(F.length("path") % 3 > 0), 0, tables=("entity",))
+    I.merge_batch(store, files.filter(F.length("path") % 3 > 0), 0)
     again = files.withColumn("content", F.concat("content", F.lit("\n"))).withColumn("content_hash", F.sha2("content", 256))
-    I.merge_batch(store, files.filter(F.length("path") % 3 == 0).unionByName(again.filter(F.length("path") % 3 == 1)), 1, tables=("entity",))
-    return store.read("entity", f"path string, {S.SCHEMAS['entity']}").groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
+    I.merge_batch(store, files.filter(F.length("path") % 3 == 0).unionByName(again.filter(F.length("path") % 3 == 1)), 1)
+    n = F.count(F.lit(1)).alias("n")
+    counts = store.read("entity", I.stored_schema("entity")).groupBy(F.lit("entity").alias("table"), "language", "kind").agg(n)
+    for name in I.TABLES:
+        if name != "entity":
+            rows = store.read(name, I.stored_schema(name)).agg(n)
+            counts = counts.unionByName(rows.select(F.lit(name).alias("table"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("kind"), "n"))
+    return counts
 
 
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:

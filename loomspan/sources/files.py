@@ -111,13 +111,18 @@ SCHEMAS = {
 }
 
 
-def records(parsed: DataFrame, tag: str) -> DataFrame:
-    """The typed table of one tag, with the path it came from, unless the record has a path of its own."""
-    names = [f.split()[0] for f in _fields(SCHEMAS[tag])]
-    own = [] if "path" in names else ["path"]
+def records(parsed: DataFrame, tag: str, source: str | None = None) -> DataFrame:
+    """The typed table of one tag, with the path it came from, unless the record has a path of its own.
+    source: a name for the path it came from, which is there in any case then."""
+    names = field_names(tag)
+    own = [F.col("path").alias(source)] if source else [] if "path" in names else ["path"]
     return parsed.filter(F.col("tag") == tag).select("path", F.from_json("record", SCHEMAS[tag]).alias("r")).select(*own, *(F.col(f"r.{n}") for n in names))
 
 
+def field_names(tag: str) -> list[str]:
+    return [f.split()[0] for f in _fields(SCHEMAS[tag])]
+
+
 def _fields(schema: str) -> list[str]:
     out, depth, held = [], 0, ""
     for c in schema:

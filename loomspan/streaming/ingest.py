@@ -15,7 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 from loomspan.operators.store import changed, replace_by_source
 from loomspan.sources import files as S
 
-TABLES = ("section", "chunk", "entity", "policy", "db_table", "config_property", "xml_bean", "route")
+TABLES = tuple(S.SCHEMAS)
+
+
+def source_column(name: str) -> str:
+    """The column of a stored table that holds the file's path; some records have a path of their own."""
+    return "source_path" if "path" in S.field_names(name) else "path"
+
+
+def stored_schema(name: str) -> str:
+    return f"{source_column(name)} string, {S.SCHEMAS[name]}"
 
 
 class TableStore:
@@ -59,9 +68,10 @@ def merge_batch(store: TableStore, files: DataFrame, batch: int, parse: Callable
     parsed = parse(fresh).persist()
     try:
         for name in tables:
-            rows = S.records(parsed, name)
-            old = store.read(name, f"path string, {S.SCHEMAS[name]}")
-            store.write(name, replace_by_source(old, rows, "path", fresh), batch)
+            source = source_column(name)
+            rows = S.records(parsed, name, source)
+            old = store.read(name, stored_schema(name))
+            store.write(name, replace_by_source(old, rows, source, fresh.select(F.col("path").alias(source))), batch)
     finally:
         parsed.unpersist()
     store.write("source", replace_by_source(known, fresh.select("path", "content_hash"), "path"), batch)
@@ -70,9 +80,9 @@ def merge_batch(store: TableStore, files: DataFrame, batch: int, parse: Callable
 def forget_sources(store: TableStore, paths: DataFrame, batch: int) -> None:
     """Takes files that are gone (path) and all that came of them out of the store."""
     for name in (*TABLES, "source"):
-        schema = "path string, content_hash string" if name == "source" else f"path string, {S.SCHEMAS[name]}"
+        source, schema = ("path", "path string, content_hash string") if name == "source" else (source_column(name), stored_schema(name))
         old = store.read(name, schema)
-        store.write(name, old.join(paths.select("path"), "path", "left_anti"), batch)
+        store.write(name, old.join(paths.select(F.col("path").alias(source)), source, "left_anti"), batch)
 
 
 def watch(spark: SparkSession, folder: str, store: TableStore, checkpoint: str, pattern: str = "*", once: bool = True) -> StreamingQuery:

@@ -147,3 +147,19 @@ def test_stream(spark, tmp_path):
     assert chunks() == {"one two", "three"} and store.read("source", "path string, content_hash string").count() == 3
     I.forget_sources(store, store.read("source", "path string, content_hash string").filter("path LIKE '%c.md'"), 9)
     assert chunks() == {"one two"}
+
+
+def test_streamed_tables_are_all_that_was_parsed(spark, tmp_path):
+    store = I.TableStore(spark, f"file://{tmp_path}/tables")
+    files = spark.createDataFrame(sorted(Q.PROJECT.items()), "path string, content string").withColumn("content_hash", F.sha2("content", 256))
+    older = files.withColumn("content_hash", F.lit("older"))  # every file comes again in the second batch
+    I.merge_batch(store, older, 0)
+    I.merge_batch(store, files, 1)
+    parsed = S.parse(files).persist()
+    for name in S.SCHEMAS:
+        want = S.records(parsed, name)
+        got = store.read(name, I.stored_schema(name)).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    assert store.read("annotation", I.stored_schema("annotation")).count() and store.read("module", I.stored_schema("module")).count()
+    I.forget_sources(store, files.select("path"), 2)
+    assert store.read("module", I.stored_schema("module")).count() == 0
