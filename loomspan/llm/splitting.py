@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomspan.common import words
 
 LIMIT, OVERLAP = 400, 60  # words of a piece with its breadcrumb; words a piece repeats
-LEAST_NEW = 40  # new words that a piece must have room for, else the breadcrumb is cut from its front
+LEAST_NEW = 1  # new word that a piece must have room for, else the breadcrumb is cut from its front
 REACH = 0.2  # how far a target may move, as a share of a piece's length
 
 _TOKEN = re.compile(r"\S+")

@@ -38,3 +38,10 @@ def test_operator(spark):
     assert {r.chunk_id for r in got.collect()} == {"a", "c", "e", "g"}
     assert [r.piece for r in got.filter("chunk_id = 'c'").orderBy("piece").collect()] == [0, 1, 2]
     assert P.oversized_pieces(chunks.limit(0), sections).count() == 0 and P.oversized_pieces(chunks, sections.limit(0)).select("chunk_id").distinct().count() == 3
+
+
+def test_breadcrumbs_stay_whole_while_a_new_word_fits():
+    text = " ".join(f"w{n}" for n in range(500))
+    for size, kept in ((301, 301), (339, 339), (340, 339)):
+        pieces = P.split_text(text, " ".join(f"c{n}" for n in range(size)))
+        assert rebuilt(pieces) == text.split() and all(p["words"] <= P.LIMIT and len(p["breadcrumb"].split()) == kept for p in pieces)
