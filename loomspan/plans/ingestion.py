@@ -59,10 +59,13 @@ def stream_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Project:
-    """The tables of the sample project, parsed."""
+    """The tables of the sample project and, with a folder, of its source files, parsed; copies of a path count once."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, d: str = ""):
         files = spark.createDataFrame(sorted(PROJECT.items()), "path string, content string")
+        if d:
+            files = files.unionByName(table(spark, d, "source_files").select("path", "content"))
+            files = files.filter("path IS NOT NULL").groupBy("path").agg(F.max("content").alias("content"))
         parsed = cut(S.parse(files))
         self.t = {tag: S.records(parsed, tag) for tag in S.SCHEMAS}
         self.sources = files.select("path")
@@ -73,33 +76,33 @@ class Project:
 
 
 def resolver_modules(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     return D.in_module(p.sources, p.t["module"])
 
 
 def resolver_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     return D.module_dependencies(p.t["module"], p.t["dependency"])
 
 
 def resolver_beans(spark: SparkSession, d: str) -> DataFrame:
-    return Project(spark).beans.select("id", "name", "stereotype", "bean_type")
+    return Project(spark, d).beans.select("id", "name", "stereotype", "bean_type")
 
 
 def resolver_injections(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     points = D.injection_points(p.entities, p.annotations, p.t["field"], p.beans)
     return D.injections(points, p.beans, D.supertypes(p.entities)).select("bean", "type", "via", "multiplicity", "target", "reason")
 
 
 def resolver_bindings(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     bound = D.bound_properties(p.annotations, p.t["field"], p.t["config_property"], p.beans)
     return bound.join(p.t["config_property"].select(F.col("id").alias("property"), "key"), "property").select("bean", "key")
 
 
 def resolver_persistence(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     repos, persistent = D.repositories(p.t["type_binding"], p.annotations), D.persistent_types(p.entities, p.annotations)
     a = D.manages(repos, persistent).select(F.col("repository").alias("src"), F.lit("MANAGES").alias("type"), F.col("entity").alias("dst"))
     b = D.persists_as(persistent, p.t["db_table"]).select(F.col("entity").alias("src"), F.lit("PERSISTS_AS").alias("type"), F.col("table_qn").alias("dst"))
@@ -108,12 +111,12 @@ def resolver_persistence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolver_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     return D.endpoints(p.entities, p.annotations).select("handler", "http_method", "path", "outbound")
 
 
 def resolver_service_calls(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     e = D.endpoints(p.entities, p.annotations)
     name = e.select("id", "handler")
     calls = D.service_calls(e)
@@ -121,23 +124,23 @@ def resolver_service_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolver_advice(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     hits, _ = D.advises(D.advice(p.annotations), p.entities, p.annotations)
     return hits.select("method")
 
 
 def resolver_mappers(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     return D.mapped_statements(p.t["sql_statement"], p.entities).select("method")
 
 
 def resolver_routes(spark: SparkSession, d: str) -> DataFrame:
-    p = Project(spark)
+    p = Project(spark, d)
     return D.route_targets(p.t["route"], p.entities, p.beans).select("index", "target")
 
 
 def resolver_destinations(spark: SparkSession, d: str) -> DataFrame:
-    return D.destinations(Project(spark).annotations)
+    return D.destinations(Project(spark, d).annotations)
 
 
 QUERIES = {

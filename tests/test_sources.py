@@ -163,3 +163,11 @@ def test_streamed_tables_are_all_that_was_parsed(spark, tmp_path):
     assert store.read("annotation", I.stored_schema("annotation")).count() and store.read("module", I.stored_schema("module")).count()
     I.forget_sources(store, files.select("path"), 2)
     assert store.read("module", I.stored_schema("module")).count() == 0
+
+
+def test_rules_run_over_the_source_files(spark, data):
+    files = spark.read.parquet(f"{data}/source_files.parquet").filter("path IS NOT NULL")
+    both = Q.Project(spark, data)
+    assert both.sources.count() == len({r.path for r in files.collect()} | set(Q.PROJECT))
+    assert both.t["entity"].join(files, "path").count() > 0
+    assert {str(r) for r in Q.resolver_beans(spark, "").collect()} <= {str(r) for r in Q.resolver_beans(spark, data).collect()}
