@@ -1,12 +1,14 @@
 """Most similar vectors for every vector (problem 5).
 
-NN-descent: a first neighbour graph comes from a forest of random-projection trees, whose leaves are
-compared in blocks; rounds of Spark joins then bring together the neighbours of each vector, which may
-be neighbours of each other, until a round changes hardly an edge. New queries are answered by greedy search over the graph.
+NN-descent: a first neighbour graph comes from a few partitions of space into cells, whose vectors are
+compared in blocks; then rounds of Spark joins bring together, at each vector, all that it names and all
+that name it, which may be neighbours of each other, until a round changes hardly an edge. Edges that
+haven't met yet are fresh, and only pairs with a fresh edge are compared. New queries are answered by
+greedy search over the graph.
 
 Vectors travel as codes of one byte per dimension, which keep a cosine within about 0.004. Nothing but
-the trees, grown on a bounded sample, is sent to all tasks. Each vector has a bounded number of rows in
-every stage, and blocks are bounded, so work grows in proportion to the vectors.
+the landmarks of cells, bounded by a sample, is sent to all tasks. Each vector has a bounded number of
+rows in every stage, and blocks are bounded, so work grows in proportion to the vectors.
 """
 
 from __future__ import annotations
@@ -23,101 +25,207 @@ from loomspan.common import cut, cut_counting, spill
 
 DIMENSIONS = 64
 KEPT = 10  # neighbours of a vector in the graph
-LEAF = 4096  # vectors of a tree's leaf, about; a block has at most twice as many
-TREES, TREES_AT_ONCE = 9, 3
+LEAF = 4096  # vectors of a cell, about; a block has at most four times as many
+TREES, TREES_AT_ONCE = 5, 5
 ROUNDS = 1  # of joins of neighbours of neighbours, at least
-SETTLED = 0.001  # share of edges changed in a round at which rounds end
+SETTLED = 0.02  # share of edges changed in a round at which rounds end
 HOT = 128  # vectors naming one that meet at it in one block, about
-MEETINGS = 4  # parts of a round over a large collection, one after the other, so that its shuffle files stay small
-SAMPLE = 40_000  # vectors that the trees are grown on, about at most
+MEETINGS = 3  # parts of a round, one after the other, so that its shuffle files stay small
+SAMPLE = 40_000  # vectors that landmarks are drawn from and cells measured by, about at most
+LANDMARKS = 256  # of a level of cells, at most
+DEEPER, DEEPEST = 16, 8  # directions that part a cell too large, and levels of them
+BROADCAST_ROWS = 200_000  # rows of 12 bytes that are sent to all tasks, at most; more are joined by shuffle
 CLOSE = 0.95  # cosine of a close pair
 _SLACK = 0.01  # by which codes may understate a cosine
+_WIDTH = 13 * KEPT  # bytes of a row's neighbours: ids, cosines and whether they are fresh
+_STATE = "id long, code binary, near binary, worst float, fresh int"
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """The values of a binary column that have `width` bytes, as rows; others are empty or null."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, width) if data is not None else np.zeros((0, width), np.uint8)
+
+
+def _binary(rows: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+    """Rows of bytes as a binary column; where present is given, other places are empty."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.uint8)
+    size = np.full(len(rows), data.shape[1]) if present is None else np.where(present, data.shape[1], 0)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+
+
+def _width(column: pa.Array) -> int:
+    """Bytes of the values of a binary column that aren't empty; all have as many."""
+    size = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
+    return int(size.max()) if len(size) and size.max() else DIMENSIONS
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return _fixed(column, _width(column)).view(np.int8)
 
 
 def _floats(codes: np.ndarray) -> np.ndarray:
     x = codes.astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
 
 
-def _codes(column: pa.Array, width: int = DIMENSIONS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, width)
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows of codes; sums of whole numbers, so they don't depend on the order of adding."""
+    a, b = a.astype(np.float32), b.astype(np.float32)
+    dot, aa, bb = (np.einsum("ij,ij->i", p, q).astype(np.float64) for p, q in ((a, b), (a, a), (b, b)))
+    return (dot / np.sqrt(np.maximum(aa * bb, 1e-9))).astype(np.float32)
 
 
-def encoded(vectors: DataFrame) -> DataFrame:
-    """key, code of (key, embedding), one row per key: usable embeddings only, that is of DIMENSIONS
+def encoded(vectors: DataFrame, width: int = DIMENSIONS) -> DataFrame:
+    """key, code of (key, embedding), one row per key: usable embeddings only, that is of `width`
     finite values that aren't all zero. Null keys drop out; of differing copies the largest code stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lists = batch.column(0), batch.column(1)
-            fit = np.asarray(pa.compute.equal(pa.compute.list_value_length(lists), DIMENSIONS).fill_null(False))
+            fit = np.asarray(pa.compute.equal(pa.compute.list_value_length(lists), width).fill_null(False))
             keys, lists = keys.filter(pa.array(fit)), lists.filter(pa.array(fit))
-            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, DIMENSIONS)
+            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, width)
             with np.errstate(all="ignore"):
                 top = np.abs(x).max(1) if len(x) else np.zeros(0)
                 good = np.isfinite(x).all(1) & (top > 0)
                 x = x[good] / top[good, None]
-            code = np.rint(x * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), pa.array([c.tobytes() for c in code], pa.binary())], names=["key", "code"])
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), _binary(np.rint(x * 127).astype(np.int8))], names=["key", "code"])
 
     rows = vectors.filter("key IS NOT NULL AND embedding IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("embedding").cast("array<float>").alias("embedding"))
     return rows.mapInArrow(run, "key string, code binary").groupBy("key").agg(F.max("code").alias("code"))
 
 
-class Forest:
-    """Trees of hyperplanes halfway between two sampled vectors, cut at the sample's median."""
+def _mixed(*numbers) -> np.ndarray:
+    """A number of 64 bits from arrays of them, well mixed."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for n in numbers:
+            h = (h ^ np.asarray(n).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(29))
+    return h
+
+
+class Cells:
+    """Partitions of space, one per tree. A vector's cell is the landmark nearest to it, where there are
+    too many vectors for LANDMARKS cells followed by the direction that the rest of it points to, and so
+    on. Cells that hold several blocks' vectors by the sample are parted by further directions; what
+    nothing parts, such as copies of one vector, by a hash that differs from tree to tree.
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 17):
+    The sample bounds all of it, whatever the number of vectors."""
+
+    def __init__(self, sample: np.ndarray, n: int, leaf: int, trees: int, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.depth, self.planes, self.offsets = depth, [], []
+        want, self.levels = max(8, -(-n // leaf)), []
+        while want > 1 and len(self.levels) < 6:
+            self.levels.append(min(LANDMARKS, want))
+            want = -(-want // LANDMARKS)
+        unit = lambda x: (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.marks, self.apart = [], []
         for _ in range(trees):
-            planes = np.zeros((2**depth - 1, sample.shape[1]), np.float32)
-            offsets = np.zeros(2**depth - 1, np.float32)
-            members: dict[int, np.ndarray] = {0: np.arange(len(sample))}
-            for node in range(2**depth - 1):
-                at = members.pop(node, np.zeros(0, int))
-                pick = rng.integers(len(at) if len(at) > 1 else len(sample), size=(8, 2))
-                a, b = (sample[at[p]] if len(at) > 1 else sample[p] for p in (pick[:, 0], pick[:, 1]))
-                plane = (a - b).sum(0) if not np.allclose(a, b) else rng.normal(size=sample.shape[1])
-                plane = plane / max(np.linalg.norm(plane), 1e-9)
-                value = sample[at] @ plane
-                planes[node], offsets[node] = plane, np.median(value) if len(at) else 0
-                members[2 * node + 1], members[2 * node + 2] = at[value <= offsets[node]], at[value > offsets[node]]
-            self.planes.append(planes)
-            self.offsets.append(offsets)
-
-    def leaves(self, x: np.ndarray, tree: int) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            value = np.einsum("ij,ij->i", x, self.planes[tree][node])
-            node = 2 * node + 1 + (value > self.offsets[tree][node])
-        return node - (2**self.depth - 1)
-
-
-def _pack(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
-    """Rows (id, near) of the `keep` best distinct others of each owner; near is their ids and cosines."""
-    order = np.lexsort((other, -sim, owner))
-    owner, other, sim = owner[order], other[order], sim[order]
-    again = np.lexsort((np.arange(len(owner)), other, owner))  # repeats of a pair: the first, best one stays
-    repeat = np.zeros(len(owner), bool)
-    repeat[again[1:]] = (owner[again[1:]] == owner[again[:-1]]) & (other[again[1:]] == other[again[:-1]])
-    owner, other, sim = owner[~repeat], other[~repeat], sim[~repeat]
-    start = np.flatnonzero(np.diff(owner, prepend=-1))
-    rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
-    fit = rank < keep
-    owner, other, sim = owner[fit], other[fit], sim[fit]
-    start = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = np.append(start[1:], len(owner))
-    ids, sims = other.astype("<i8"), sim.astype("<f4")
-    near = [ids[a:b].tobytes() + sims[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(owner[start], pa.int64()), pa.array(near, pa.binary())], names=["id", "near"])
-
-
-def _unpack(ids: np.ndarray, near: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.array([len(b) // 12 for b in near], np.int64)
-    other = np.frombuffer(b"".join(b[: 8 * (len(b) // 12)] for b in near), "<i8")
-    sim = np.frombuffer(b"".join(b[8 * (len(b) // 12) :] for b in near), "<f4")
-    return np.repeat(ids, counts), other, sim
+            marks = sample[rng.choice(len(sample), min(self.levels[0], len(sample)), replace=False)]
+            if len(marks) < self.levels[0]:
+                marks = np.vstack([marks, rng.normal(size=(self.levels[0] - len(marks), sample.shape[1]))])
+            first = unit(marks)
+            later = []
+            for k in [*self.levels[1:], *[DEEPER] * DEEPEST]:
+                a, b = (sample[rng.integers(len(sample), size=k)] for _ in "ab")
+                later.append(unit(a - b + 1e-3 * rng.normal(size=a.shape)))
+            self.marks.append([first, *later])
+            self.apart.append(({}, {}))
+        share = n / max(len(sample), 1)
+        for tree in range(trees):
+            deep, salted = self.apart[tree]
+            rest = self._base(sample, tree)
+            for level in range(len(self.levels), len(self.levels) + DEEPEST + 1):
+                cell, where, count = np.unique(rest[0], return_inverse=True, return_counts=True)
+                large = (count * share > 4 * leaf) & (count >= 8)
+                if level == len(self.levels) + DEEPEST:
+                    salted.update({int(c): int(-(-m * share // leaf)) for c, m in zip(cell[large], count[large], strict=True)})
+                    break
+                deep.update(dict.fromkeys(map(int, cell[large]), level))
+                kept = large[where]
+                if not kept.any():
+                    break
+                rest = self._step(rest[0][kept], rest[1][kept], tree, level)
+
+    def _base(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        cell, rest = np.full(len(x), tree, np.uint64), x
+        for level in range(len(self.levels)):
+            cell, rest = self._step(cell, rest, tree, level)
+        return cell, rest
+
+    def _step(self, cell: np.ndarray, rest: np.ndarray, tree: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        marks = self.marks[tree][level]
+        value = rest @ marks.T
+        best = value.argmax(1)
+        return _mixed(cell, best), rest - np.take_along_axis(value, best[:, None], 1) * marks[best]
+
+    def cells(self, x: np.ndarray, ids: np.ndarray, tree: int) -> np.ndarray:
+        cell, rest = self._base(x, tree)
+        deep, salted = self.apart[tree]
+        for level in range(len(self.levels), len(self.levels) + DEEPEST):
+            parted = np.array([c for c, at in deep.items() if at == level], np.uint64)
+            at = np.flatnonzero(np.isin(cell, parted)) if len(parted) else []
+            if not len(at):
+                break
+            cell[at], rest[at] = self._step(cell[at], rest[at], tree, level)
+        for c, parts in salted.items():
+            at = np.flatnonzero(cell == np.uint64(c))
+            cell[at] = _mixed(cell[at], _mixed(ids[at], tree) % np.uint64(parts))
+        return cell.view(np.int64)
+
+
+def _packed(group: np.ndarray, n: int, owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, repeats: bool) -> np.ndarray:
+    """A row of bytes for each of n groups: the KEPT best distinct others of the candidates that `group`
+    numbers, best first; of equal cosines a hash of both ids decides, so that copies name different ones.
+    owner: ids of the candidates' groups. A pair is fresh only if all its candidates are."""
+    mixed = _mixed(owner, other) >> np.uint64(32)
+    if repeats:
+        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | mixed, kind="stable")
+        group, other, sim, fresh, mixed = group[order], other[order], sim[order], fresh[order], mixed[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (other[1:] != other[:-1])) if len(group) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        if len(start):
+            fresh = np.minimum.reduceat(fresh, start)
+        group, other, sim = group[start], other[start], sim[start]
+    else:
+        order = np.argsort(mixed)
+        group, other, sim, fresh = group[order], other[order], sim[order], fresh[order]
+    down = (np.float32(2) - sim.astype(np.float32)).view(np.uint32).astype(np.uint64)  # from 1 on, so bits are in order
+    order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | down, kind="stable")
+    group, other, sim, fresh = group[order], other[order], sim[order], fresh[order]
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+    rank = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+    fit = rank < KEPT
+    ids, sims, flags = np.full((n, KEPT), -1, "<i8"), np.full((n, KEPT), -2, "<f4"), np.zeros((n, KEPT), np.uint8)
+    at = (group[fit], rank[fit])
+    ids[at], sims[at], flags[at] = other[fit], sim[fit], fresh[fit]
+    return np.hstack([ids.view(np.uint8).reshape(n, -1), sims.view(np.uint8).reshape(n, -1), flags])
+
+
+def _unpacked(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, cosines and flags of rows of _packed(), KEPT columns each; ids of -1 are empty places."""
+    ids = np.ascontiguousarray(near[:, : 8 * KEPT]).view("<i8")
+    sims = np.ascontiguousarray(near[:, 8 * KEPT : 12 * KEPT]).view("<f4")
+    return ids, sims, near[:, 12 * KEPT :]
+
+
+def _empty(n: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.zeros(n + 1, np.int32)), pa.py_buffer(b"")])
+
+
+def _results(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, repeats: bool = True) -> pa.RecordBatch:
+    """Candidates as rows of _STATE without a code, one per owner."""
+    ids, group = np.unique(owner, return_inverse=True)
+    near = _packed(group, len(ids), owner, other, sim, np.ones(len(owner), np.uint8), repeats)
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _empty(n), _binary(near), pa.array(np.full(n, -2, np.float32)), pa.array(np.zeros(n, np.int32))], names=["id", "code", "near", "worst", "fresh"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int, most: int | None = None) -> Iterator[tuple[np.ndarray, list]]:
@@ -143,14 +251,25 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int, most: int | Non
         yield np.asarray(table.column(0)), list(table.columns[1:])
 
 
-def merged(rows: DataFrame, keep: int = KEPT) -> DataFrame:
-    """One row (id, near) per id, of the best of all its rows."""
+def _merged(state: DataFrame, results: DataFrame | None, met: bool = False) -> DataFrame:
+    """state with the candidates of results taken in. met: what state holds isn't fresh any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, (near,) in _whole_groups(batches, 20_000):
-            yield _pack(*_unpack(ids, near.to_pylist()), keep)
-
-    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(run, "id long, near binary")
+        for ids, (code, near) in _whole_groups(batches, 20_000):
+            own = np.diff(np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]) > 0
+            other, sim, fresh = _unpacked(_fixed(near, _WIDTH))
+            if met:
+                fresh = np.where(own[:, None], 0, fresh).astype(np.uint8)
+            start = np.append(True, ids[1:] != ids[:-1])
+            group, there = np.cumsum(start) - 1, other >= 0
+            row = np.repeat(np.arange(len(ids)), KEPT).reshape(-1, KEPT)[there]
+            best = _packed(group[row], int(start.sum()), ids[row], other[there], sim[there], fresh[there], repeats=True)
+            _, sims, flags = _unpacked(best)
+            codes = _fixed(code, _width(code))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[start]), _binary(codes), _binary(best), pa.array(np.ascontiguousarray(sims[:, -1])), pa.array(flags.sum(1).astype(np.int32))], names=["id", "code", "near", "worst", "fresh"])
+
+    rows = state if results is None else state.unionByName(results)
+    return rows.select("id", "code", "near").repartition("id").sortWithinPartitions("id").mapInArrow(run, _STATE)
 
 
 def _release(spark: SparkSession) -> None:
@@ -159,147 +278,184 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _first_graph(points: DataFrame, forest: Forest, trees: list[int], leaf: int) -> DataFrame:
-    """Rows (id, near) of the neighbours that each point has in its leaves of some trees. Leaves that hold
-    more than two blocks' vectors, such as copies of one, are cut by the hash of the id."""
-    per_tree = 2**forest.depth
+def _near_in_block(x: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a block's unit vectors of which j may be among the KEPT nearest of i and is nearer
+    than worst[i]. Each pair is multiplied once. Where worst says nothing, a bound comes from an eighth of
+    the block, by which a vector gets more than KEPT candidates but for about one in a hundred."""
+    m = len(x)
+    if m <= 512:
+        sim = x @ x.T
+        np.fill_diagonal(sim, -3)
+        if m > KEPT:
+            worst = np.maximum(worst, np.partition(sim, m - KEPT, axis=1)[:, m - KEPT] - 1e-5)
+        return np.nonzero(sim > worst[:, None])
+    part = x[:: 8]
+    few = x @ part.T
+    few[np.arange(0, m, 8), np.arange(len(part))] = -3
+    worst = np.maximum(worst, np.partition(few, len(part) - 3, axis=1)[:, len(part) - 3])
+    low = np.partition(worst, m // 16)[m // 16]  # those that take in more than most do are looked at by themselves
+    odd = np.flatnonzero(worst < low)
+    is_odd = worst < low
+    left, right = [], []
+    for s in range(0, m, 512):
+        sim = x[s : s + 512] @ x[s:].T
+        at = np.flatnonzero(sim > np.minimum(np.maximum(worst[s : s + 512], low), low)[:, None])
+        i, j = np.divmod(at, sim.shape[1])
+        value = sim.ravel()[at]
+        i, j = i + s, j + s
+        up = (value > worst[i]) & ~is_odd[i] & (j > i)
+        down = (value > worst[j]) & ~is_odd[j] & (j > i)
+        left += [i[up], j[down]]
+        right += [j[up], i[down]]
+    for some in np.array_split(odd, -(-len(odd) // 512)) if len(odd) else ():
+        sim = x[some] @ x.T
+        sim[np.arange(len(some)), some] = -3
+        i, j = np.nonzero(sim > worst[some, None])
+        left.append(some[i])
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _in_cells(state: DataFrame, cells: Cells, trees: list[int], leaf: int, n: int) -> DataFrame:
+    """Rows of the neighbours that each vector has in its cells of some trees, nearer than those it has."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _floats(_codes(batch.column(1)))
+            x, ids = _floats(_codes(batch.column(1))), np.asarray(batch.column(0))
             for tree in trees:
-                yield pa.RecordBatch.from_arrays([pa.array(forest.leaves(x, tree) + tree * per_tree), batch.column(0), batch.column(1)], names=["leaf", "id", "code"])
-
-    assigned = points.select("id", "code").mapInArrow(assign, "leaf long, id long, code binary")
-    sizes = {r.leaf: r["count"] for r in assigned.groupBy("leaf").count().filter(F.col("count") > 2 * leaf).toLocalIterator()}
-    part = F.lit(0).cast("long")
-    for k, n in sizes.items():  # as many as leaves hold two blocks or more
-        part = F.when(F.col("leaf") == k, F.pmod(F.xxhash64("id"), F.lit(-(-n // (2 * leaf))))).otherwise(part)
-    blocks = assigned.withColumn("block", F.col("leaf") + part * (per_tree * 64)).select("block", "id", "code")
+                order = _mixed(ids, tree).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.cells(x, ids, tree)), pa.array(order), *batch.columns], names=["cell", "place", "id", "code", "worst"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (ids, codes) in _whole_groups(batches, 1, 4 * leaf):
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            points_of, code = np.asarray(ids), _codes(codes)
+        for cell, (_, ids, codes, worst) in _whole_groups(batches, 1, 4 * leaf):
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            own, code, least = np.asarray(ids), _codes(codes), np.asarray(worst)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a < 2:
-                    continue
-                x, own = _floats(code[a:b]), points_of[a:b]
-                k = min(KEPT, b - a - 1)
-                for s in range(0, b - a, 512):
-                    sim = x[s : s + 512] @ x.T
-                    sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
-                    best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                    yield _pack(np.repeat(own[s : s + 512], k), own[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), KEPT)
+                if b - a > 1:
+                    i, j = _near_in_block(_floats(code[a:b]), least[a:b])
+                    i, j = i + a, j + a
+                    yield _results(own[i], own[j], _cosines(code[i], code[j]), repeats=False)
 
-    tasks = max(24, per_tree * len(trees) // 2)
-    return blocks.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(compare, "id long, near binary")
+    placed = state.select("id", "code", "worst").mapInArrow(assign, "cell long, place long, id long, code binary, worst float")
+    tasks = max(12, len(trees) * n // 60_000)
+    return placed.repartition(tasks, "cell").sortWithinPartitions("cell", "place").mapInArrow(compare, _STATE)
 
 
-def _links(graph: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Rows (owner, other, fresh): the edges of a graph; fresh are those that the graph before hadn't."""
-    empty = F.lit(None).cast("binary").alias("old")
-    both = graph.select("id", "near", empty) if before is None else graph.join(before.select("id", F.col("near").alias("old")), "id", "left").select("id", "near", "old")
+def _edges(state: DataFrame, back: bool, coded: bool, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows (via, id, fresh) of a part of the vectors that name others, each with those that it names; if
+    back, of a part of those named, each with those that name it, and with their code and worst if coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            owner, other, _ = _unpack(ids, batch.column(1).to_pylist())
-            held, known, _ = _unpack(ids, [b or b"" for b in batch.column(2).to_pylist()])
-            order = np.lexsort((np.repeat([0, 1], [len(held), len(owner)]), np.append(known, other), np.append(held, owner)))
-            a, b = np.append(held, owner)[order], np.append(known, other)[order]
-            seen = np.zeros(len(a), bool)
-            seen[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array(~seen[len(held) :])], names=["owner", "other", "fresh"])
+            other, _, fresh = _unpacked(_fixed(batch.column(2), _WIDTH))
+            there = other >= 0
+            row = np.repeat(np.arange(len(ids)), KEPT).reshape(-1, KEPT)[there]
+            owner, other, fresh = ids[row], other[there], fresh[there].astype(bool)
+            via, member = (other, owner) if back else (owner, other)
+            fit = _mixed(via) % np.uint64(parts) == part
+            columns = [pa.array(via[fit]), pa.array(member[fit]), pa.array(fresh[fit])]
+            if coded:
+                columns += [_binary(_codes(batch.column(1))[row[fit]]), pa.array(np.asarray(batch.column(3))[row[fit]])]
+            yield pa.RecordBatch.from_arrays(columns, names=["via", "id", "fresh", "code", "worst"][: len(columns)])
+
+    return state.select("id", "code", "near", "worst").mapInArrow(run, "via long, id long, fresh boolean" + (", code binary, worst float" if coded else ""))
+
 
-    return both.mapInArrow(run, "owner long, other long, fresh boolean")
+def _sized(small: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def _descend(points: DataFrame, graph: DataFrame, links: DataFrame, turn: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """Rows (id, near) of better neighbours: all vectors that a vector names and all that name it meet at
-    it and are compared, if any of these edges is fresh. part: of so many
-    parts of the vectors met at.
+def _descend(state: DataFrame, turn: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows of better neighbours: all vectors that a vector names and all that name it meet at it, and
+    pairs of which one came by a fresh edge are compared. part: of so many parts of the vectors met at.
 
     Where more than HOT name one vector, these are spread over blocks by a hash, drawn anew in each round,
     and the vectors that it names are in every block. So groups are bounded, and whoever names it meets
     all that it names."""
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            worst = [float(np.frombuffer(b[-4:], "<f4")[0]) if len(b) >= 12 * KEPT else -2.0 for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worst, pa.float32())], names=["id", "worst"])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, (ids, codes, worst) in _whole_groups(batches, 40_000):
-            ids = np.asarray(ids)
+        for group, (ids, fresh, codes, worst) in _whole_groups(batches, 40_000):
+            ids, fresh, code, worst = np.asarray(ids), np.asarray(fresh).astype(bool), _codes(codes), np.asarray(worst)
             once = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))  # those that name each other came twice
-            group, ids, x, worst = group[once], ids[once], _floats(_codes(codes))[once], np.asarray(worst)[once]
+            at = np.flatnonzero(once)
+            fresh = np.logical_or.reduceat(fresh, at)
+            group, ids, code, worst = group[at], ids[at], code[at], worst[at]
+            x = _floats(code)
             start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             size = np.diff(np.append(start, len(group)))
-            owner, other, sim = [], [], []
+            left, right = [], []
             for m in np.unique(size[size > 1]):
                 at = start[size == m][:, None] + np.arange(m)
-                for few in np.array_split(at, -(-at.size * int(m) // 8_000_000)):
-                    s = np.matmul(x[few], x[few].transpose(0, 2, 1))
-                    g, a, b = np.nonzero((s > worst[few][:, :, None]) & ~np.eye(m, dtype=bool))
-                    owner.append(ids[few[g, a]])
-                    other.append(ids[few[g, b]])
-                    sim.append(s[g, a, b])
-            if owner:
-                yield _pack(np.concatenate(owner), np.concatenate(other), np.concatenate(sim), KEPT)
-
-    forth = links.select(F.col("owner").alias("via"), F.col("other").alias("id"), "fresh", F.lit(0).alias("names"))
-    back = links.select(F.col("other").alias("via"), F.col("owner").alias("id"), "fresh", F.lit(1).alias("names"))
-    members = forth.unionByName(back).filter(F.pmod(F.xxhash64("via"), F.lit(parts)) == part)
-    met = members.groupBy("via").agg(F.sum("names").alias("n"), F.max("fresh").alias("fresh")).filter("fresh").select("via", F.greatest(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int")
-    placed = members.join(met, "via").select("via", "id", F.explode(F.when(F.col("names") == 1, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
-    meetings = (
-        placed.select("id", F.xxhash64("via", "block").alias("group"))
-        .join(points.select("id", "code").join(graph.mapInArrow(least, "id long, worst float"), "id", "left"), "id")
-        .select("group", "id", "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+                for few in np.array_split(at, -(-at.size * int(m) // 4_000_000)):
+                    sim = np.matmul(x[few], x[few].transpose(0, 2, 1))
+                    new = fresh[few]
+                    g, a, b = np.nonzero((sim > worst[few][:, :, None]) & (new[:, :, None] | new[:, None, :]) & ~np.eye(m, dtype=bool))
+                    left.append(few[g, a])
+                    right.append(few[g, b])
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                yield _results(ids[i], ids[j], _cosines(code[i], code[j]))
+
+    named = _edges(state, False, False, part, parts)
+    naming = _edges(state, True, True, part, parts)
+    stats = _edges(state, True, False, part, parts).select("via", "fresh", F.lit(1).alias("n")).unionByName(named.select("via", "fresh", F.lit(0).alias("n"))).groupBy("via").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
+    met, seen = cut_counting(
+        stats.select("via", "fresh", F.greatest(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int").alias("blocks")).filter("NOT fresh OR blocks > 1"), hot=F.count_if(F.expr("fresh AND blocks > 1")), done=F.count_if(F.expr("NOT fresh"))
     )
-    return meetings.repartition("group").sortWithinPartitions("group", "id").mapInArrow(meet, "id long, near binary")
-
-
-def indexed(vectors: DataFrame) -> DataFrame:
+    members = (
+        named.join(state.select("id", "code", "worst"), "id").withColumn("named", F.lit(True))
+        .unionByName(naming.withColumn("named", F.lit(False)))
+    )
+    if seen["done"]:
+        members = members.join(_sized(met.filter("NOT fresh").select("via"), seen["done"]), "via", "left_anti")
+    block = F.lit(0)
+    if seen["hot"]:
+        members = members.join(_sized(met.filter("fresh").select("via", "blocks"), seen["hot"]), "via", "left")
+        own = F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int")
+        places = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("named"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+        members = members.withColumn("block", F.explode(places))
+        block = F.col("block")
+    meetings = members.select(F.xxhash64("via", block).alias("group"), "id", "fresh", "code", "worst")
+    return meetings.repartition("group").sortWithinPartitions("group", "id").mapInArrow(meet, _STATE)
+
+
+def indexed(vectors: DataFrame, width: int = DIMENSIONS) -> DataFrame:
     """points (id, key, code), written to the shared folder. Ids are a hash of the key, so that nothing
     follows the partitioning; should two keys share one, all are hashed anew with the next salt."""
-    rows, salt = spill(encoded(vectors), "vectors"), 0
+    rows, salt = encoded(vectors, width), 0
     while True:
-        named = rows.withColumn("id", F.xxhash64(F.lit(salt), "key").bitwiseAND(F.lit(2**63 - 1)))
-        if named.groupBy("id").count().filter("count > 1").isEmpty():
-            return spill(named.select("id", "key", "code"), "points")
-        salt += 1
+        points = spill(rows.select(F.xxhash64(F.lit(salt), "key").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "key", "code"), "points")
+        if points.groupBy("id").count().filter("count > 1").isEmpty():
+            return points
+        rows, salt = points.select("key", "code"), salt + 1
 
 
-def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
-    """graph (id, near): the KEPT nearest vectors found of each point. A collection of one has no rows.
-    rounds: of joins at least; they go on until the share of edges that a round changed is at most SETTLED."""
-    n = points.count()
+def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF, settled: float = SETTLED) -> DataFrame:
+    """graph (id, near): the KEPT nearest vectors found of each point. A collection of one has no edges.
+    rounds: of joins at least; they go on until the share of edges that a round changed is at most settled."""
+    spark, n = points.sparkSession, points.count()
     share = min(1.0, SAMPLE / max(n, 1))
     sample = points.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id", "code")
-    codes = [code for _, code in sorted((r.id, r.code) for r in sample.toLocalIterator())] or [bytes([1] * DIMENSIONS)]
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    forest = Forest(_floats(np.frombuffer(b"".join(bytes(c) for c in codes), np.int8).reshape(len(codes), -1)), trees, depth)
-    graph: DataFrame | None = None
+    codes = [bytes(code) for _, code in sorted((r.id, r.code) for r in sample.toLocalIterator())] or [bytes([1] * DIMENSIONS)]
+    cells = Cells(_floats(np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)), n, leaf, trees)
+    nothing = np.hstack([np.full((1, KEPT), -1, "<i8").view(np.uint8), np.full((1, KEPT), -2, "<f4").view(np.uint8), np.zeros((1, KEPT), np.uint8)]).tobytes()
+    state = points.select("id", "code", F.lit(bytearray(nothing)).alias("near"), F.lit(-2.0).cast("float").alias("worst"), F.lit(0).alias("fresh"))
+    counts = {"fresh": F.sum(F.col("fresh").cast("long")), "n": F.count(F.lit(1))}
     for first in range(0, trees, TREES_AT_ONCE):
-        rows = _first_graph(points, forest, list(range(first, min(trees, first + TREES_AT_ONCE))), leaf)
-        graph = cut(merged(rows if graph is None else graph.unionByName(rows)))
-        _release(points.sparkSession)
-        if depth == 0:  # one leaf holds all: the graph is exact
-            return graph
-    before, turn = None, 0
-    while True:
-        links, seen = cut_counting(_links(graph, before), fresh=F.sum(F.col("fresh").cast("long")), edges=F.count(F.lit(1)))
-        if not seen["edges"] or (turn >= rounds and seen["fresh"] <= SETTLED * seen["edges"]):
-            return graph
-        before = graph
-        parts = min(MEETINGS, 1 + n // 50_000)
-        for part in range(parts):
-            graph = cut(merged(graph.unionByName(_descend(points, graph, links, turn, part, parts))))
-            _release(points.sparkSession)
+        state, seen = cut_counting(_merged(state, _in_cells(state, cells, list(range(first, min(trees, first + TREES_AT_ONCE))), leaf, n)), **counts)
+        _release(spark)
+    turn = 0
+    while seen["fresh"] and (turn < rounds or seen["fresh"] > settled * KEPT * seen["n"]):
+        found = None
+        for part in range(MEETINGS):
+            better = cut(_descend(state, turn, part, MEETINGS))
+            found = better if found is None else found.unionByName(better)
+            _release(spark)
+        state, seen = cut_counting(_merged(state, found, met=True), **counts)
+        _release(spark)
         turn += 1
+    return state.select("id", "near")
 
 
 def graph_edges(graph: DataFrame) -> DataFrame:
@@ -307,12 +463,12 @@ def graph_edges(graph: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, other, sim = _unpack(np.asarray(batch.column(0)), batch.column(1).to_pylist())
-            start = np.flatnonzero(np.diff(owner, prepend=-1))
-            rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner)))) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array(sim.astype(np.float64)), pa.array(rank.astype(np.int32))], names=["id", "other", "cosine", "rank"])
+            other, sim, _ = _unpacked(_fixed(batch.column(1), _WIDTH))
+            there = other >= 0
+            row, rank = np.nonzero(there)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(other[there]), pa.array(sim[there].astype(np.float64)), pa.array((rank + 1).astype(np.int32))], names=["id", "other", "cosine", "rank"])
 
-    return graph.mapInArrow(run, "id long, other long, cosine double, rank int")
+    return graph.select("id", "near").mapInArrow(run, "id long, other long, cosine double, rank int")
 
 
 def nearest(points: DataFrame, graph: DataFrame) -> DataFrame:

@@ -9,10 +9,6 @@ from loomspan.common import WHITE, table
 from loomspan.llm import doc_pairs, languages, leaks, neighbours, splitting, syntax, tokenizer
 
 
-#: Parameters that bring the ten nearest of hundreds of thousands of vectors to a recall of 0.9.
-NEAREST = {"trees": 18, "rounds": 2, "leaf": 8192}
-
-
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "sections"))
 
@@ -37,18 +33,18 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d)
     points = neighbours.indexed(vectors)
-    return neighbours.close_pairs(vectors, points, neighbours.neighbour_graph(points, **NEAREST)).select("key_a", "key_b")
+    return neighbours.close_pairs(vectors, points, neighbours.neighbour_graph(points)).select("key_a", "key_b")
 
 
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     points = neighbours.indexed(_vectors(spark, d))
-    return neighbours.nearest(points, neighbours.neighbour_graph(points, **NEAREST))
+    return neighbours.nearest(points, neighbours.neighbour_graph(points))
 
 
 def p5_search(spark: SparkSession, d: str) -> DataFrame:
     """Queries: every vector of embeddings whose id is divisible by 50, against all others."""
     points = neighbours.indexed(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "embedding"))
-    graph = neighbours.neighbour_graph(points, **NEAREST)
+    graph = neighbours.neighbour_graph(points)
     queries = points.filter("CAST(key AS BIGINT) % 50 = 0").select(F.col("key").alias("query"), "code")
     return neighbours.search(points, graph, queries, others=True)
 

@@ -65,11 +65,22 @@ def test_graph_does_not_follow_the_partitions(spark):
     assert graphs[0] == graphs[1]
 
 
-def test_close_pairs_use_the_graph_of_the_nearest(spark, data, monkeypatch):
+def test_all_queries_use_the_same_graph(spark, data, monkeypatch):
     asked, real = [], N.neighbour_graph
     monkeypatch.setattr(N, "neighbour_graph", lambda points, **given: asked.append(given) or real(points, **given))
-    queries.p5_found(spark, data)
-    assert asked == [queries.NEAREST]
+    for query in (queries.p5_found, queries.p5_nearest, queries.p5_search):
+        query(spark, data)
+    assert asked == [{}, {}, {}]
+
+
+def state_of(spark, points, named):
+    """A state in which each id of `named` names the ids there, all fresh, with cosines of -1."""
+    rows = []
+    for r in points.collect():
+        others = np.array(named.get(r.id, []), np.int64)
+        near = N._packed(np.zeros(len(others), int), 1, np.full(len(others), r.id), others, np.full(len(others), -1, np.float32), np.ones(len(others), np.uint8), True)
+        rows.append((r.id, r.code, bytearray(near.tobytes()), -2.0, len(others)))
+    return spark.createDataFrame(rows, N._STATE)
 
 
 def test_rounds_go_on_until_the_graph_settles(spark):
@@ -91,14 +102,41 @@ def test_whoever_names_a_vector_meets_all_that_it_names(spark):
     points = N.indexed(frame(spark, rng.normal(size=(402, 64))))
     ids = {r.key: r.id for r in points.collect()}
     hub, last = ids["k00400"], ids["k00401"]
-    links = [(ids[f"k{n:05d}"], hub) for n in range(400)] + [(hub, last)]  # 400 name the hub, none names them
-    rows = [(a, np.array([b], "<i8").tobytes() + np.array([-1.0], "<f4").tobytes()) for a, b in links]
-    graph = spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "id long, near binary")
-    met = {(r.id, r.other) for r in N.graph_edges(N._descend(points, graph, N._links(graph, None), 0)).collect()}
+    state = state_of(spark, points, {ids[f"k{n:05d}"]: [hub] for n in range(400)} | {hub: [last]})  # 400 name the hub, none names them
+    met = {(r.id, r.other) for r in N.graph_edges(N._descend(state, 0)).collect()}
     assert {a for a, _ in met} == {*ids.values()} - {hub}
     assert len({a for a, b in met if b == last} | {b for a, b in met if a == last}) >= 10
 
 
+def test_pairs_that_met_do_not_meet_again(spark):
+    points = N.indexed(frame(spark, np.random.default_rng(7).normal(size=(40, 64))))
+    ids = [r.id for r in points.orderBy("key").collect()]
+    state = N._merged(state_of(spark, points, {ids[0]: ids[1:11]}), None, met=True)
+    assert N._descend(state, 0).count() == 0
+
+
+def test_rounds_run_on_small_collections_too(spark, monkeypatch):
+    turns, real = [], N._descend
+    monkeypatch.setattr(N, "_descend", lambda state, turn, *rest: turns.append(turn) or real(state, turn, *rest))
+    N.neighbour_graph(N.indexed(frame(spark, np.random.default_rng(9).normal(size=(3000, 64)))))
+    assert 0 in turns
+
+
+def test_equal_vectors_parted_in_one_tree_meet_in_another():
+    x = np.ones((5000, 64), np.float32) / 8
+    cells, ids = N.Cells(x, 5000, 100, 2), np.arange(5000)
+    first, second = cells.cells(x, ids, 0), cells.cells(x, ids, 1)
+    assert 8 <= len(np.unique(first)) and np.unique(first, return_counts=True)[1].max() < 400
+    together = (first[:, None] == first[None, :]) & ~np.eye(5000, dtype=bool)
+    assert 0.5 < (second[:, None] == second[None, :])[together].mean() * len(np.unique(second)) < 2
+
+
+def test_cells_do_not_grow_with_the_collection():
+    sample = np.random.default_rng(3).normal(size=(2000, 64)).astype(np.float32)
+    size = lambda n: sum(m.size for tree in N.Cells(sample, n, 4096, 1).marks for m in tree)
+    assert size(10**12) <= size(10**6) + 3 * 256 * 64
+
+
 def test_runs_are_cut_only_when_long_themselves():
     keys = np.repeat([1, 2, 3], [90, 90, 250])
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 64]), pa.array(np.arange(a, min(a + 64, len(keys))))], names=["key", "n"]) for a in range(0, len(keys), 64)]
@@ -113,8 +151,7 @@ def test_search_goes_on_until_beams_settle(spark):
     x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)  # a ring: far from the entries, a step goes five points on
     points = N.indexed(frame(spark, x))
     ids = [r.id for r in points.orderBy("key").collect()]
-    near = [(ids[n], [ids[(n + k) % 1500] for k in (1, -1, 2, -2, 3, -3, 4, -4, 5, -5)]) for n in range(1500)]
-    graph = spark.createDataFrame([(a, bytearray(np.array(b, "<i8").tobytes() + np.ones(10, "<f4").tobytes())) for a, b in near], "id long, near binary")
+    graph = state_of(spark, points, {ids[n]: [ids[(n + k) % 1500] for k in (1, -1, 2, -2, 3, -3, 4, -4, 5, -5)] for n in range(1500)}).select("id", "near")
     queries_ = points.filter("key IN ('k00100', 'k00600')").select(F.col("key").alias("query"), "code")
     answers = N.search(points, graph, queries_, entries=1, beam=20, others=True).collect()
     assert len(answers) == 20 and all(r.key != r.query and r.cosine > 0.99 for r in answers)
