@@ -1,15 +1,15 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 7).
 
 The merges are compiled into a deterministic automaton over tokens that accepts just the sequences
-BPE itself gives. It starts with one state and an arc for each byte. Merge m of u and v into w is a
-gadget: no v may follow an arc u any more, and wherever u and then v could be read, an arc w is put
-in, which leads where v led. A state is thus what the last token leaves open, and whether arc y
-leaves the state behind x is settled by going back through the merges that made x and y. Arcs are
-compiled when they are first asked for and kept in a table; the whole table would have 2.5 billion
-cells, nearly all of which no word ever asks for.
-
-A word has exactly one path through the automaton. It is found from left to right, each prefix of the
-word having one last token. Decoding emits the labels of the arcs.
+BPE itself gives. It starts with one state and an arc from it to itself for each byte. Each merge of u
+and v into w, in order, is a gadget: the state that arcs u lead to is replaced by a copy without the arc
+v, and beside every arc u an arc w is put in, which leads where arc v led. All arcs of a token lead to
+one state, so a gadget makes one state, and a state is written down as what it was copied from, when,
+and the arc taken out. The cells of the transition table (state, token) are worked out of that when they
+are first read: all of them would be 2.5 billion, nearly all of which no word ever reads.
+
+A word has exactly one path through the automaton. It is found from left to right by reading the table,
+each prefix of the word having one last token. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The public pre-split pattern of byte-level BPE.
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _KEPT_WORDS = 400_000  # words whose ids a worker keeps; beyond that it starts anew
-_START = -1
+_ROOT, _NO_ARC = 0, -1
 
 
 def printable_bytes() -> dict[str, int]:
@@ -45,60 +45,84 @@ def printable_bytes() -> dict[str, int]:
 class Automaton:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         byte_of = printable_bytes()
-        raw = lambda token: bytes(byte_of[c] for c in token)
-        self.label = {i: raw(t) for t, i in vocabulary.items() if all(c in byte_of for c in t)}
-        self.id = {b: i for i, b in self.label.items()}
-        # of each token: the merge that made it (bytes: -1) and what it merged
-        self.made = dict.fromkeys(self.label, -1)
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merge: dict[tuple[int, int], int] = {}
-        for m, (u, v) in enumerate(merges):
-            pair, w = (vocabulary[u], vocabulary[v]), vocabulary[u + v]
-            self.merge.setdefault(pair, m)
-            if w not in self.parts:
-                self.parts[w], self.made[w] = pair, m
-        self.stems = {b[:n] for b in self.id for n in range(1, len(b) + 1)}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.label = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items() if all(c in byte_of for c in t)}
+        self.size = 1 + max(vocabulary.values(), default=0)
+        # of each state: the state it was copied from, the number of that gadget, the token whose arc was taken out
+        self.copied, self.born, self.without = [_ROOT], [-1], [-1]
+        # of each token: the gadget that put its arcs in (bytes: -1), the token beside whose arcs, and where they lead
+        self.made, self.beside, self.behind = [-1] * self.size, [-1] * self.size, [_ROOT] * self.size
+        self.table: dict[int, int] = {}
+        for number, (left, right) in enumerate(merges):
+            self._gadget(number, vocabulary[left], vocabulary[right], vocabulary[left + right])
+        self.table.clear()  # arcs led elsewhere while gadgets were still to come
+        # trie of the labels: (node, byte) to node, and each node's token
+        self.child: dict[int, int] = {}
+        self.token_at = [-1]
+        for token, text in self.label.items():
+            node = 0
+            for byte in text:
+                after = self.child.get(node << 8 | byte)
+                if after is None:
+                    after = self.child[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = after
+            self.token_at[node] = token
         self.split = regex.compile(_SPLIT)
 
+    def _gadget(self, number: int, u: int, v: int, w: int) -> None:
+        if not self._has(self.behind[u], v):
+            return
+        led = self.behind[v]
+        self.copied.append(self.behind[u])
+        self.born.append(number)
+        self.without.append(v)
+        self.behind[u] = len(self.born) - 1
+        if self.made[w] < 0:  # should several merges give one token, its arcs stand beside those of the first
+            self.made[w], self.beside[w], self.behind[w] = number, u, led
+
+    def _has(self, state: int, token: int) -> bool:
+        """Whether an arc leaves a state: a token made before the state was copied must have an arc in what it was
+        copied from; one made since has an arc if the token has that it was put in beside."""
+        made, born = self.made, self.born
+        while made[token] >= 0 or state != _ROOT:
+            if made[token] < born[state]:
+                if token == self.without[state]:
+                    return False
+                state = self.copied[state]
+            else:
+                token = self.beside[token]
+        return True
+
+    def arc(self, state: int, token: int) -> int:
+        """The state that token leads to, or _NO_ARC: a cell of the table."""
+        cell = state * self.size + token
+        to = self.table.get(cell)
+        if to is None:
+            to = self.table[cell] = self.behind[token] if self._has(state, token) else _NO_ARC
+        return to
+
     @classmethod
     def load(cls, path: str) -> Automaton:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         return cls(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether y may follow x: the gadgets of both tokens, undone from the last to the first."""
-        known = self.arcs.get((x, y))
-        if known is None:
-            known = self.arcs[x, y] = self._compile(x, y)
-        return known
-
-    def _compile(self, x: int, y: int) -> bool:
-        before = len(self.merge)  # merges from this one on have not been applied
-        while True:
-            if self.merge.get((x, y), before) < before:
-                return False
-            mx, my = self.made[x], self.made[y]
-            if mx < 0 and my < 0:
-                return True
-            if my >= mx:  # arc y was put in beside arc u, once its own merge had cut u from v
-                y, before = self.parts[y][0], my + 1
-            else:  # arc x leads where arc v led
-                x, before = self.parts[x][1], mx
-
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        n = len(word)
-        last, back = [_START] * (n + 1), [0] * (n + 1)
+        n, size, table, child, token_at = len(word), self.size, self.table, self.child, self.token_at
+        state, last, back = [_ROOT] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            state = last[i]
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                if piece not in self.stems:
+            row, node = state[i], 0
+            for j in range(i, n):
+                node = child.get(node << 8 | word[j])
+                if node is None:
                     break
-                token = self.id.get(piece)
-                if token is not None and (state == _START or self.arc(state, token)):
-                    last[j], back[j] = token, i
+                token = token_at[node]
+                if token >= 0:
+                    to = table.get(row * size + token)
+                    if to is None:
+                        to = self.arc(row, token)
+                    if to >= 0:
+                        state[j + 1], last[j + 1], back[j + 1] = to, token, i
         out = []
         while n:
             out.append(last[n])
@@ -130,8 +154,8 @@ _loaded: dict[str, _Words] = {}  # by path, for all tasks of a Python worker
 def _words(path: str) -> _Words:
     if path not in _loaded or len(_loaded[path]) > _KEPT_WORDS:
         automaton = _loaded[path].automaton if path in _loaded else Automaton.load(path)
-        if len(automaton.arcs) > 4 * _KEPT_WORDS:
-            automaton.arcs.clear()
+        if len(automaton.table) > 4 * _KEPT_WORDS:
+            automaton.table.clear()
         _loaded[path] = _Words(automaton)
     return _loaded[path]
 

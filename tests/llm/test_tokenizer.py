@@ -27,6 +27,16 @@ def test_like_the_library(automaton):
     assert automaton.encode(long) == library.encode(long, add_special_tokens=False).ids
 
 
+def test_gadgets_by_hand():
+    tokens = {t: n for n, t in enumerate(("a", "b", "aa", "ab", "aab"))}
+    a = T.Automaton(tokens, [("a", "a"), ("a", "b"), ("aa", "b")])
+    names = {n: t for t, n in tokens.items()}
+    assert len(a.born) == 4  # the root, a without a, that without b, and aa without b
+    word = lambda w: [names[i] for i in a.encode_word(w)]
+    assert word(b"aaab") == ["aa", "ab"] and word(b"aab") == ["aab"] and word(b"aaaab") == ["aa", "aab"] and word(b"ba") == ["b", "a"]
+    assert a.arc(a.behind[tokens["a"]], tokens["a"]) < 0 <= a.arc(a.behind[tokens["aa"]], tokens["ab"])
+
+
 def test_corpus(spark, automaton):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (3, "", "x"), (1, "a b", "y")], "doc_id long, text string, ids string")
     got = sorted((r.doc_id, r.ids) for r in T.encode_corpus(docs).collect())
