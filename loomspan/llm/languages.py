@@ -63,10 +63,14 @@ _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def named_language(label: str | None) -> str | None:
-    """The language that a label names: codes of two or three letters, with regions, English names, in
-    any case. Null for a label that names none of LANGUAGES, or nothing."""
-    head = re.split(r"[^a-z]+", (label or "").strip().lower(), maxsplit=1)[0]
-    return _BY_NAME.get(head)
+    """The language that a label names: codes of two or three letters, with regions behind them, or English
+    names with other words around them, in any case. Null for a label that names none of LANGUAGES, nothing,
+    or several by name."""
+    words = re.findall("[a-z]+", (label or "").lower())
+    if words and words[0] in _BY_NAME:
+        return _BY_NAME[words[0]]
+    named = {_BY_NAME[w] for w in words[1:] if len(w) > 3 and w in _BY_NAME}  # a short word elsewhere may be a region or any word
+    return named.pop() if len(named) == 1 else None
 
 
 def whole_sentences(text: str) -> list[str]:

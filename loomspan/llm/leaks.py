@@ -25,22 +25,37 @@ _SAMPLE = 16  # of the suffix positions one in so many is kept
 _GAP, _FIRST = 1, 2  # symbols: 0 ends the shard, 1 is any run of words of no item or an end of document
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->"
+_TAG = r"</?[A-Za-z][^<>]*>"  # of any length: it ends before the next bracket, so reading stays linear
 # Tags that stand within a line; others part words.
-_INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]{0,300})?/?>", re.I)
-_OTHER = re.compile(_TAG, re.S)
-_ENTITY = re.compile(r"&(?:[A-Za-z]{2,10}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
+_INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>", re.I)
+_OTHER = re.compile(_TAG)
+_ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#0*\d{1,7}|#[xX]0*[0-9a-fA-F]{1,6});")  # larger numbers name no character
+_ZEROS = re.compile(r"(?<=[#xX])0+(?=[0-9a-fA-F])")
 # Characters that show nothing.
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
-_PIECE = re.compile(rf"(?:{_TAG}|\S)+", re.S)
+_PIECE = re.compile(rf"(?:{_TAG}|\S)+")
+
+
+def _without_comments(text: str) -> str:
+    """Markup comments overwritten by as many characters that are neither words nor white space."""
+    at = text.find("<!--")
+    if at < 0:
+        return text
+    out, done = [], 0
+    while at >= 0 and (end := text.find("-->", at + 4)) >= 0:
+        out += [text[done:at], "\0" * (end + 3 - at)]
+        done = end + 3
+        at = text.find("<!--", done)
+    return "".join([*out, text[done:]])
 
 
 def normal_words(text: str) -> list[str]:
     """Runs of letters and digits, without regard to case, markup, normal form and invisible characters."""
     if "<" in text:
+        text = _without_comments(text)
         text = _OTHER.sub(" ", _INLINE.sub("", text))
     if "&" in text:
-        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
+        text = _ENTITY.sub(lambda m: html.unescape(_ZEROS.sub("", m.group())), text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
         text = unicodedata.normalize("NFKC", text.casefold())
@@ -51,7 +66,7 @@ def normal_words(text: str) -> list[str]:
 
 def word_places(text: str) -> list[tuple[int, int]]:
     """Of each of normal_words(text), the start and end of the piece between white space it stands in."""
-    return [m.span() for m in _PIECE.finditer(text) for _ in normal_words(m.group())]
+    return [m.span() for m in _PIECE.finditer(_without_comments(text)) for _ in normal_words(m.group())]
 
 
 class ShardIndex:

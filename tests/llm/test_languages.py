@@ -2,7 +2,7 @@ from loomspan.llm import languages as L
 
 
 def test_labels():
-    named = {"EN": "en", "pt-BR": "pt", "es_MX": "es", "German": "de", "zho": "zh", " fr ": "fr", None: None, "": None, "xx": None, "n/a": None, "pl": None, "unknown": None}
+    named = {"EN": "en", "pt-BR": "pt", "es_MX": "es", "German": "de", "zho": "zh", " fr ": "fr", None: None, "": None, "xx": None, "n/a": None, "pl": None, "unknown": None, "Brazilian Portuguese": "pt", "Simplified Chinese": "zh", "lang: de": None, "either german or dutch": None}
     assert {k: L.named_language(k) for k in named} == named
 
 

@@ -11,6 +11,18 @@ def test_words_ignore_looks():
     assert len(L.word_places(text)) == len(L.normal_words(text)) == 3
 
 
+def test_marks_of_any_length(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    long = '<span title="' + "x " * 900 + '">'
+    text = " ".join([*words[:4], f"{long}{words[4]}</span>", "<!--" + " note" * 500 + "-->", *words[5:]])
+    assert L.normal_words(text) == words and len(L.word_places(text)) == len(L.normal_words(text))
+    assert L.normal_words("a&CounterClockwiseContourIntegral;b&#" + "0" * 5000 + "99;d &#99999999999;") == ["a", "bcd", "99999999999"]
+    assert L.normal_words("<!-- " * 50_000)[:1] == [] and L.normal_words("<a " * 100_000)[:1] == ["a"]  # in time
+    docs = spark.createDataFrame([(1, "so " + text + " it is")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in L.leaks(docs, items).collect()] == [(1, 5)]
+
+
 def test_index_counts_and_locates():
     rng = np.random.default_rng(2)
     for size, letters in ((1, 2), (50, 3), (400, 2), (300, 9)):
