@@ -26,11 +26,11 @@ from loomspan.common import cut, cut_counting, spill
 DIMENSIONS = 64
 KEPT = 10  # neighbours of a vector in the graph
 LEAF = 4096  # vectors of a cell, about; a block has at most four times as many
-TREES, TREES_AT_ONCE = 5, 5
+TREES, TREES_AT_ONCE = 5, 3
 ROUNDS = 1  # of joins of neighbours of neighbours, at least
 SETTLED = 0.02  # share of edges changed in a round at which rounds end
 HOT = 128  # vectors naming one that meet at it in one block, about
-MEETINGS = 3  # parts of a round over a large collection, one after the other, so that its shuffle files stay small
+MEETINGS = 4  # parts of a round over a large collection, one after the other, so that its shuffle files stay small
 SAMPLE = 40_000  # vectors that landmarks are drawn from and cells measured by, about at most
 LANDMARKS = 256  # of a level of cells, at most
 DEEPER, DEEPEST = 16, 8  # directions that part a cell too large, and levels of them
@@ -451,6 +451,7 @@ def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS,
         for part in range(parts):
             better = cut(_descend(state, turn, part, parts))
             found = better if found is None else found.unionByName(better)
+            _release(spark)
         state, seen = cut_counting(_merged(state, found, met=True), **counts)
         _release(spark)
         turn += 1
