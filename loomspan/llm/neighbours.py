@@ -26,7 +26,7 @@ from loomspan.common import cut, cut_counting, spill
 DIMENSIONS = 64
 KEPT = 10  # neighbours of a vector in the graph
 LEAF = 4096  # vectors of a cell, about; a block has at most four times as many
-TREES, TREES_AT_ONCE = 5, 3
+TREES, TREES_AT_ONCE = 8, 4
 ROUNDS = 1  # of joins of neighbours of neighbours, at least
 SETTLED = 0.02  # share of edges changed in a round at which rounds end
 HOT = 128  # vectors naming one that meet at it in one block, about
