@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.common import WHITE, table
 from loomspan.functions import text as T
 from loomspan.operators import retrieval as R
+from loomspan.sources import sqlscan
 
 QUERY = "which service keeps the lookup tables in memory"
 VARIANTS = ("which service keeps the lookup tables in memory", "the report calls a rename", "compare the build reports")
@@ -151,7 +152,7 @@ def eval_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 def sql_table_scan(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_files").filter(F.col("path").endswith(".sql"))
-    return files.select("file_id", F.explode(T.sql_tables(F.col("content"))).alias("t")).select("file_id", "t.name", "t.mode")
+    return sqlscan.table_mentions(files, "file_id", "content")
 
 
 def redacted_props(spark: SparkSession, d: str) -> DataFrame:

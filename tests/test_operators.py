@@ -11,6 +11,7 @@ from loomspan.operators import graph as G
 from loomspan.operators import memory as M
 from loomspan.operators import retrieval as R
 from loomspan.operators import store as S
+from loomspan.sources import sqlscan
 
 
 def pairs(df):
@@ -64,8 +65,8 @@ def test_text_helpers(spark):
     assert [r[0] for r in cites] == ["p — A > B (p. 42)", "p —  (pp. 42–44)", "p — A"]
     red = spark.createDataFrame([("db.password", "x"), ("app.key", "x"), ("keyboard", "x"), ("a.token[0]", "x")], "k string, v string").select(T.redacted(F.col("k"), F.col("v"))).collect()
     assert [r[0] for r in red] == ["***", "***", "x", "***"]
-    sql = spark.createDataFrame([("INSERT INTO a.t SELECT * FROM b JOIN c ON 1=1 -- FROM d\n WHERE x = 'from e'",)], "s string").select(T.sql_tables(F.col("s"))).first()[0]
-    assert [(x.name, x.mode) for x in sql] == [("t", "write"), ("b", "read"), ("c", "read")]
+    sql = spark.createDataFrame([(1, "INSERT INTO a.t SELECT * FROM b JOIN c ON 1=1 -- FROM d\n WHERE x = 'from e'"), (2, None), (3, ""), (4, "DELETE FROM a . x; UPDATE b.y SET z = 1; select 1 from y")], "k int, s string")
+    assert sorted(tuple(r) for r in sqlscan.table_mentions(sql, "k", "s").collect()) == [(1, "b", "read"), (1, "c", "read"), (1, "t", "write"), (4, "a", "write"), (4, "y", "write")]
 
 
 def test_store(spark):

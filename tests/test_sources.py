@@ -1,8 +1,10 @@
 """Parsers on small texts, the sample project's derived edges, and the stream of files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import derive as D
+from loomspan.operators import pointcuts as P
 from loomspan.plans import ingestion as Q
 from loomspan.sources import build, code, documents, scip, wiring
 from loomspan.sources import files as S
@@ -31,7 +33,7 @@ def test_policies_and_config():
     assert got["policy"][0]["resource_types"] == ["aws_x", "aws_y"] and [c["text"] for c in got["chunk"]] == ["a: 1", "b:\n  c: 2"]
     assert list(documents.yaml_file("bad.yaml", "a: [")) == []
     props = by_tag(documents.config_file("r/application-dev.properties", "a.b = one \\\n  two\n! note\n#---\nspring.config.activate.on-profile=live\na.b:three\nc ${a.b}x\nd=${a.b:q}\nmy.secret=s\n"))["config_property"]
-    assert [(p["profile"], p["key"], p["value"]) for p in props] == [("dev", "a.b", "one two"), ("live", "spring.config.activate.on-profile", "live"), ("live", "a.b", "three"), ("live", "c", "${a.b}x"), ("live", "d", "${a.b:q}"), ("live", "my.secret", "***")]
+    assert [(p["profile"], p["key"], p["value"]) for p in props] == [("dev", "a.b", "one two"), ("live", "spring.config.activate.on-profile", "live"), ("live", "a.b", "three"), ("live", "c", "${a.b}x"), ("live", "d", "${a.b:q}"), ("live", "my.secret", "s")]
     assert props[4]["refs"] == [props[2]["id"]]
 
 
@@ -129,9 +131,37 @@ def test_derived_from_the_sample_project(spark):
     assert [r[0] for r in names.select(D.derived_properties(F.col("n"))).collect()] == [["ownerName", "open"], ["brand"], [], ["orderId"]]
 
 
-def test_pointcuts():
-    assert D.pointcut("!execution(* a.b(..))", {}) is None and D.pointcut("args(x)", {}) is None and D.pointcut("", {}) is None
-    assert D._top_level("a() || (b() && c())", "&&") == ["a() || (b() && c())"] and len(D._top_level("a() || (b() || c())", "||")) == 2
+def test_pointcuts(spark):
+    for text in ("!execution(* a.b(..))", "args(x)", "", "within(a", "within(a) && ", "within(a) within(b)", "missing()", "(within(a)"):
+        with pytest.raises(P.Unsupported):
+            P.condition(P.parsed(text), {})
+    with pytest.raises(P.Unsupported):
+        P.condition(P.parsed("x()"), {"x": "y()", "y": "x() || within(a)"})
+    tree = P.parsed("within(a) || within(b) && within(c)")
+    assert tree.operator == "||" and tree.right.operator == "&&" and P.parsed("(within(a) || within(b)) && within(c)").operator == "&&"
+    rows = [("dev.a.T.run", "dev.a.T", ["x.Timed"]), ("dev.a.b.T.stop", "dev.a.b.T", []), ("dev.c.U.run", "dev.c.U", [])]
+    methods = spark.createDataFrame(rows, "qn string, owner string, annotations array<string>")
+    named = {"inA": "within(dev.a..*)", "runs": "execution(* run(..))"}
+    hit = lambda text: [r.qn for r in methods.filter(P.condition(P.parsed(text), named)).orderBy("qn").collect()]
+    assert hit("inA()") == ["dev.a.T.run", "dev.a.b.T.stop"] and hit("runs() && inA()") == ["dev.a.T.run"] and hit("Other.runs() || inA()") == [r[0] for r in sorted(rows)]
+    assert hit("within(dev.a.*)") == ["dev.a.T.run"] and hit("@annotation(y.Timed)") == hit("@annotation(Timed)") == ["dev.a.T.run"]
+    assert hit("execution(public void dev..T.s*(..))") == ["dev.a.b.T.stop"] and hit("execution(* dev.a.T.*(..))") == ["dev.a.T.run"]
+    advice = spark.createDataFrame([("1", "A.p()", "pointcut", "within(dev.c..*)"), ("2", "A.q()", "before", "p()"), ("3", "A.r()", "after", "args(x)")], "id string, advice_qn string, kind string, expression string")
+    entities = spark.createDataFrame([("dev.c.U.run()", "dev.c.U", "method")], "qualified_name string, parent_qualified_name string, kind string")
+    notes = spark.createDataFrame([], "owner string, fqn string, target string")
+    hits, reasons = D.advises(advice, entities, notes)
+    assert [tuple(r) for r in hits.collect()] == [("2", "dev.c.U.run()")] and [r.advice for r in reasons.collect()] == ["3"]
+
+
+def test_secrets_and_references_of_config():
+    text = "app.user=ann\napp.password=p\napp.greeting=hello ${app.user} and ${app.none}\n#---\nspring.config.activate.on-profile=prod\napp.user=bob\napp.greeting=${app.user}\n"
+    found = list(documents.config_file("conf/application-x.properties", text))
+    rows = [r for tag, r in found if tag == "config_property"]
+    value = {(r["profile"], r["key"]): r for r in rows}
+    assert value["x", "app.password"]["value"] == "p" and {r["profile"] for r in rows} == {"x", "prod"}
+    assert value["x", "app.greeting"]["refs"] == [value["x", "app.user"]["id"]] and value["prod", "app.greeting"]["refs"] == [value["prod", "app.user"]["id"]]
+    chunks = [r["text"] for tag, r in found if tag == "chunk"]
+    assert len(chunks) == 2 and "app.password = ***" in chunks[0] and chunks[1].startswith("application-x (profile prod)\n")
 
 
 def test_stream(spark, tmp_path):
