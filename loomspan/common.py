@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +21,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests, one
-    machine), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir, or that was set by setCheckpointDir();
+    where there is none, a temporary one if all runs on this machine (master local), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    jsc = spark.sparkContext._jsc.sc()
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
 
@@ -41,14 +50,36 @@ def cut_counting(df: DataFrame, **stats: Column) -> tuple[DataFrame, dict]:
     return cut(df.observe(seen, *(c.alias(n) for n, c in stats.items()))), seen.get
 
 
+def _spills(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/spills-{spark.sparkContext.applicationId}"
+
+
+def clear_spills(spark: SparkSession) -> bool:
+    """Deletes what spill() has written for this application, once no result that reads it is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_spills(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spill(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a written table in the shared folder: columns can be pruned when it's read again."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df as a written table in the shared folder: columns can be pruned when it's read again. It lies in
+    the folder of this application's spills, which clear_spills() deletes."""
+    path = f"{_spills(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # the schema, as an empty table may have no file
+
+
+def spilled_table(first: DataFrame, label: str, partition_by: list[str]) -> tuple[Callable[[DataFrame], None], Callable[[], DataFrame]]:
+    """A written table that grows: what adds rows to it, and what reads all that it holds so far."""
+    path, spark = f"{_spills(first.sparkSession)}/{label}-{uuid.uuid4().hex}", first.sparkSession
+
+    def add(rows: DataFrame) -> None:
+        rows.select(*first.columns).write.mode("append").partitionBy(*partition_by).parquet(path)
+
+    add(first)
+    return add, lambda: spark.read.schema(first.schema).parquet(path)
 
 
 def blank(c: Column) -> Column:

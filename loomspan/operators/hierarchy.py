@@ -16,10 +16,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.common import blank, current_rows, cut, cut_counting
+from loomspan.common import blank, current_rows, cut_counting, spill, spilled_table
 
 KEYS = ["node_table", "node_key"]
 _PARENT = ["node_table", "parent_key"]
+FEW = 100_000  # unpeeled nodes that one task goes on with
 
 
 def live_links(df: DataFrame, node_table: str, key: str, parent: str) -> DataFrame:
@@ -46,27 +47,11 @@ class Peeled:
 def _wave(state: DataFrame, wave: int) -> DataFrame:
     """One wave over state (KEYS, parent_key, subtree_size, unpeeled, wave): leaves get their number as
     wave and send their size. One shuffle, in which messages are added up before they travel."""
-    leaf = F.col("wave").isNull() & (F.col("unpeeled") == 0)
-    own = F.struct(
-        "node_key", F.struct("parent_key").alias("link"), "subtree_size", "unpeeled",
-        F.when(leaf, F.lit(wave)).otherwise(F.col("wave")).alias("wave"),
-    )
-    message = F.struct(
-        F.col("parent_key").alias("node_key"), F.lit(None).cast("struct<parent_key:string>").alias("link"), "subtree_size",
-        F.lit(-1).cast("long").alias("unpeeled"), F.lit(None).cast("int").alias("wave"),
-    )
-    sent = F.when(leaf & F.col("parent_key").isNotNull(), F.array(own, message)).otherwise(F.array(own))
-    return (
-        state.select("node_table", F.explode(sent).alias("m"))
-        .select("node_table", "m.*")
-        .groupBy(*KEYS)
-        .agg(
-            F.max("link").alias("link"), F.sum("subtree_size").alias("subtree_size"),
-            F.sum("unpeeled").alias("unpeeled"), F.max("wave").alias("wave"),
-        )
-        .filter(F.col("link").isNotNull())  # messages to parents that aren't nodes
-        .select(*KEYS, "link.parent_key", "subtree_size", "unpeeled", "wave")
-    )
+    own = f"struct(node_key, struct(parent_key) AS link, subtree_size, unpeeled, CASE WHEN leaf THEN {wave} ELSE wave END AS wave)"
+    message = "struct(parent_key AS node_key, CAST(NULL AS struct<parent_key:string>) AS link, subtree_size, CAST(-1 AS bigint) AS unpeeled, CAST(NULL AS int) AS wave)"
+    sent = state.selectExpr("*", "wave IS NULL AND unpeeled = 0 AS leaf").selectExpr("node_table", f"inline(CASE WHEN leaf AND parent_key IS NOT NULL THEN array({own}, {message}) ELSE array({own}) END)")
+    summed = sent.groupBy(*KEYS).agg(*map(F.expr, ("max(link) AS link", "sum(subtree_size) AS subtree_size", "sum(unpeeled) AS unpeeled", "max(wave) AS wave")))
+    return summed.filter("link IS NOT NULL").selectExpr(*KEYS, "link.parent_key", "subtree_size", "unpeeled", "wave")  # messages to parents that aren't nodes drop out
 
 
 def peel(links: DataFrame, single_waves: int = 3, waves_a_job: int = 8) -> Peeled:
@@ -74,7 +59,8 @@ def peel(links: DataFrame, single_waves: int = 3, waves_a_job: int = 8) -> Peele
 
     A parent that isn't a node makes its child a root. Messages are added up per parent before they
     are shuffled, so that a parent of a third of all nodes gets one row per task. After the first
-    waves, which drop most nodes, several waves share a job; that changes no result.
+    waves, which drop most nodes, several waves share a job, and once no more than FEW nodes are left
+    they are kept in one task, which needs no shuffle; neither changes a result.
     """
     nodes = links.select(*KEYS, "parent_key")
     totals = (
@@ -94,8 +80,9 @@ def peel(links: DataFrame, single_waves: int = 3, waves_a_job: int = 8) -> Peele
     waves: list[DataFrame] = []
     while seen["leaves"]:
         first = len(waves)
-        n = 1 if first < single_waves else waves_a_job
-        state = state.filter(open_)
+        few = seen["n"] <= FEW
+        n = 1 if first < single_waves and not few else waves_a_job
+        state = state.filter(open_).coalesce(1) if few else state.filter(open_)
         for k in range(n):
             state = _wave(state, first + k)
         state, seen = cut_counting(state, **stats)
@@ -126,41 +113,54 @@ def cycles(peeled: Peeled) -> DataFrame:
     return at.select(*KEYS, F.col("least").alias("cycle_key"))
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
+def hierarchy(links: DataFrame, waves_a_job: int = 3) -> DataFrame:
     """node_table, node_key, parent_key, root_key, depth, path (root first, itself last), subtree_size,
     height, on_cycle, cycle_key: one row per node.
 
     Roots have depth 0. A node on a circle has on_cycle and the circle's key as root, depth 0 and a
     path of itself; nodes below a circle hang from it and have its key as root. A parent that isn't
-    live leaves its child a root with that parent_key. An empty table gives no rows.
+    live leaves its child a root with that parent_key. height is that of the tree below a node, null on
+    circles. An empty table gives no rows.
+
+    On the way down each node is read once, with the wave of its parent, and written once, under its own
+    wave, so work grows with the nodes and not with the depth. Several waves share a job.
     """
     peeled = peel(links)
-    top = cycles(peeled)
-    done = (
-        peeled.residual.join(top, KEYS)
-        .select(
-            *KEYS, "parent_key", F.col("cycle_key").alias("root_key"), F.lit(0).alias("depth"),
-            F.array("node_key").alias("path"), "subtree_size", F.lit(len(peeled.waves)).alias("height"),
-            F.lit(True).alias("on_cycle"), "cycle_key",
-        )
-    )
-    done = cut(done)
-    for wave in range(len(peeled.waves) - 1, -1, -1):
-        above = done.select(
-            "node_table", F.col("node_key").alias("parent_key"), F.col("root_key").alias("_root"),
-            F.col("depth").alias("_depth"), F.col("path").alias("_path"),
-        )
-        new = peeled.waves[wave].join(above, _PARENT, "left").select(
-            *KEYS, "parent_key",
-            F.coalesce("_root", "node_key").alias("root_key"),
-            F.coalesce(F.col("_depth") + 1, F.lit(0)).alias("depth"),
-            F.when(F.col("_path").isNull(), F.array("node_key")).otherwise(F.concat("_path", F.array("node_key"))).alias("path"),
-            "subtree_size", F.lit(wave).alias("height"), F.lit(False).alias("on_cycle"), F.lit(None).cast("string").alias("cycle_key"),
+    top, n = cycles(peeled), len(peeled.waves)
+    nodes = peeled.residual.withColumn("height", F.lit(n))
+    for wave, rows in enumerate(peeled.waves):
+        nodes = nodes.unionByName(rows.withColumn("height", F.lit(wave)))
+    parents = nodes.select("node_table", F.col("node_key").alias("parent_key"), F.col("height").alias("above"))
+    waiting = spill(nodes.filter(F.col("height") < n).join(parents, _PARENT, "left").withColumn("above", F.coalesce("above", F.lit(-1))), "waiting", ["above"])
+    none = F.lit(None).cast("string")
+    roots = waiting.filter("above = -1").select(
+        *KEYS, "parent_key", F.col("node_key").alias("root_key"), F.lit(0).alias("depth"), F.array("node_key").alias("path"), "subtree_size", F.lit(False).alias("on_cycle"), none.alias("cycle_key"), "height"
+    )
+    circles = peeled.residual.join(top, KEYS).select(
+        *KEYS, "parent_key", F.col("cycle_key").alias("root_key"), F.lit(0).alias("depth"), F.array("node_key").alias("path"), "subtree_size", F.lit(True).alias("on_cycle"), "cycle_key", F.lit(n).alias("height")
+    )
+
+    def below(above: DataFrame, wave: int) -> DataFrame:
+        given = above.select("node_table", F.col("node_key").alias("parent_key"), F.col("root_key").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        return waiting.filter(F.col("above") == wave).join(given, _PARENT).select(
+            *KEYS, "parent_key", F.col("_root").alias("root_key"), (F.col("_depth") + 1).alias("depth"), F.concat("_path", F.array("node_key")).alias("path"), "subtree_size",
+            F.lit(False).alias("on_cycle"), none.alias("cycle_key"), "height",
         )
-        done = done.unionByName(new)
-        if wave:
-            done = cut(done)
-    return done
+
+    placed, done = spilled_table(roots.unionByName(circles), "placed", ["height"])
+    for first in range(n, 0, -waves_a_job):
+        fresh: list[DataFrame] = []
+        for wave in range(first, max(0, first - waves_a_job), -1):
+            above = done().filter(F.col("height") == wave)
+            for rows in fresh:
+                above = above.unionByName(rows.filter(F.col("height") == wave))
+            fresh.append(below(above, wave))
+        job = fresh[0]
+        for rows in fresh[1:]:
+            job = job.unionByName(rows)
+        placed(job)
+    out = done()
+    return out.withColumn("height", F.when(~F.col("on_cycle"), F.col("height")))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

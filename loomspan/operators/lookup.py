@@ -3,7 +3,7 @@ uniqueness of keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import matches_glob
@@ -63,6 +63,22 @@ def routes_by(routes: DataFrame, uri_glob: str | None = None, limit: int = 100)
     return out.select("id", "route_id", "from_uri", pick(False).alias("to_uris"), pick(True).alias("conditional_to_uris"), steps.alias("steps")).orderBy("route_id", "id").limit(limit)
 
 
+def section_texts(chunks: DataFrame, most: int) -> DataFrame:
+    """section_id, text (its chunks in order, parted by empty lines, cut to `most` characters) and truncated, of
+    chunks (section_id, chunk_order, id, text), one row per id. Null texts are empty.
+
+    Each chunk takes the two characters that part it from the next, so of a section of any size no more than
+    most / 2 + 1 begin before the cut; that many are picked within each task before they are shuffled.
+    Lengths of all are added up apart. Sections without chunks have no row."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    size = chunks.groupBy("section_id").agg((F.sum(n) + 2 * (F.count(F.lit(1)) - 1)).alias("_n"))
+    first = F.row_number().over(Window.partitionBy("section_id").orderBy(F.col("chunk_order").asc_nulls_first(), "id"))
+    kept = chunks.withColumn("_k", first).filter(F.col("_k") <= most // 2 + 1)
+    held = kept.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("_k", F.substring(F.coalesce("text", F.lit("")), 1, most).alias("text")))).alias("_c"))
+    text = F.array_join(F.transform("_c", lambda x: x["text"]), "\n\n")
+    return held.join(size, "section_id").select("section_id", F.substring(text, 1, most).alias("text"), (F.col("_n") > most).alias("truncated"))
+
+
 def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that several rows have: what a uniqueness constraint would refuse."""
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.common import cut
 from loomspan.functions.text import tokens
 
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.7, 0.3
@@ -19,7 +20,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def usable(c: Column, width: int) -> Column:
+def usable(c: Column, width: int | Column) -> Column:
     """An embedding of `width` finite values that aren't all zero."""
     finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce((F.size(c) == width) & finite & F.exists(c, lambda x: x != 0), F.lit(False))
@@ -43,25 +44,31 @@ def top_k(rows: DataFrame, k: int, key: str, score: str = "score", by: list[str]
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def vector_scores(rows: DataFrame, key: str, embedding: str, query: DataFrame) -> DataFrame:
-    """(key, score) of all usable rows. query: one row, one column, of a vector; without a row no row scores."""
-    asked = rows.filter(usable(F.col(embedding), 64)).withColumn("_q", query.scalar())
-    return asked.select(key, index_score(F.col(embedding), F.col("_q")).alias("score")).filter("score IS NOT NULL")
+def vector_scores(rows: DataFrame, key: str, embedding: str, query: DataFrame, width: int | None = None, copies: bool = False) -> DataFrame:
+    """(key, score) of all usable rows. query: one row, one column, of a vector; without a row no row scores.
+    Rows are usable if they are as wide as the query, or `width` where given. copies: rows that repeat a key
+    are copies and score once; only keys and scores are shuffled for it."""
+    asked = rows.withColumn("_q", query.scalar()).filter(usable(F.col(embedding), width if width else F.size("_q")))
+    scores = asked.select(key, index_score(F.col(embedding), F.col("_q")).alias("score")).filter("score IS NOT NULL")
+    return scores.groupBy(key).agg(F.max("score").alias("score")) if copies else scores
 
 
 def _count(term: str) -> Column:
     return F.size(F.filter("_t", lambda x: x == F.lit(term)))
 
 
-def bm25(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
+def bm25(rows: DataFrame, key: str, text: str, query: str, copies: bool = False) -> DataFrame:
     """(key, score) of the rows that hold a word of the query. Statistics cover all rows. One pass counts,
-    one scores; nothing is shuffled but one row of counts per task. A query without words scores none."""
+    one scores; nothing is shuffled but one row of counts per task. A query without words scores none.
+    copies: rows that repeat a key are copies and count once; their counts are shuffled, not their texts."""
     terms = sorted(set(re.findall(r"[^\W]+", query.lower())))
     counted = (
         rows.select(key, tokens(F.coalesce(text, F.lit(""))).alias("_all"))
         .select(key, F.size("_all").alias("_dl"), F.filter("_all", lambda x: x.isin(*terms) if terms else F.lit(False)).alias("_t"))
         .select(key, "_dl", F.size("_t").alias("_hits"), *(_count(t).alias(f"_tf{i}") for i, t in enumerate(terms)))
     )
+    if copies:
+        counted = counted.groupBy(key).agg(*(F.max(c).alias(c) for c in counted.columns if c != key))
     if not terms:
         return counted.select(key, F.lit(0.0).alias("score")).limit(0)
     stats = counted.agg(
@@ -77,33 +84,36 @@ def bm25(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return scored.select(key, F.round(total, 9).alias("score"))
 
 
-def min_max(score: str, by: list[str] | None = None) -> Column:
-    """A score laid between 0 and 1 over its group; 1 where all are equal."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
+def min_max(rows: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
+    """rows with `score` laid between 0 and 1 over its group (over all without `by`); 1 where all are equal.
+    Bounds are aggregated and joined, so that a group of any size costs one row per task."""
+    bounds = F.struct(F.min(score).alias("low"), F.max(score).alias("high")).alias("_b")
+    held = rows.join(rows.groupBy(*by).agg(bounds), by, "left") if by else rows.withColumn("_b", rows.agg(bounds).scalar())
+    laid = F.when(F.col("_b.high") == F.col("_b.low"), 1.0).otherwise((F.col(score) - F.col("_b.low")) / (F.col("_b.high") - F.col("_b.low")))
+    return held.withColumn(score, laid).drop("_b")
 
 
 def fuse(vector: DataFrame, text: DataFrame, key: str) -> DataFrame:
     """(key, score) of the vector half's rows: both halves laid between 0 and 1 and weighted; text alone
     brings no row in."""
-    v = vector.select(key, min_max("score").alias("_v"))
-    t = text.select(key, min_max("score").alias("_t"))
+    v = min_max(vector, "score").select(key, F.col("score").alias("_v"))
+    t = min_max(text, "score").select(key, F.col("score").alias("_t"))
     return v.join(t, key, "left").select(key, F.round(VECTOR_WEIGHT * F.col("_v") + TEXT_WEIGHT * F.coalesce("_t", F.lit(0.0)), 9).alias("score"))
 
 
-def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vector: DataFrame, k: int = 5, keep: Column | None = None, filter_first: bool = True) -> DataFrame:
+def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vector: DataFrame, k: int = 5, keep: Column | None = None, filter_first: bool = True, copies: bool = False) -> DataFrame:
     """(key, score): the k best rows by vector and text. keep: a filter on rows; before the cut to
-    candidates by default, else behind the vector's cut and before the text's, where it may leave fewer."""
+    candidates by default, else behind the vector's cut and before the text's, where it may leave fewer.
+    Both halves' candidates are cut (written) once, as they are read for their bounds and for the join."""
     n = k * CANDIDATES
     of = rows.filter(keep) if keep is not None else rows
-    v = top_k(vector_scores(of if filter_first else rows, key, embedding, vector), n, key)
-    if keep is not None and not filter_first:
-        v = v.join(of.select(key), key, "left_semi")
-    scores = bm25(rows, key, text, query)
+    v = top_k(vector_scores(of if filter_first else rows, key, embedding, vector, copies=copies), n, key)
+    scores = bm25(rows, key, text, query, copies)
     if keep is not None:
-        scores = scores.join(of.select(key), key, "left_semi")
-    return top_k(fuse(v, top_k(scores, n, key), key), k, key)
+        allowed = of.select(key)
+        v = v if filter_first else v.join(allowed, key, "left_semi")
+        scores = scores.join(allowed, key, "left_semi")
+    return top_k(fuse(cut(v), cut(top_k(scores, n, key)), key), k, key)
 
 
 def fold_variants(results: list[DataFrame], key: str) -> DataFrame:
@@ -184,6 +194,21 @@ def expanded(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("hit", F.explode(present)).withColumn("variant", F.expr(f"regexp_replace({text}, concat('(?i)\\\\b', hit.term, '\\\\b'), hit.full)")).drop("hit")
 
 
+def by_cases(rows: DataFrame, cases: DataFrame, k: int, key: str, embedding: str, asked: str, at_once: int = 500) -> DataFrame:
+    """case_id, key, score and rank of the k nearest rows of each case (case_id, `asked` vector), other than
+    itself: every case against every row, as stated questions. Cases are sent to the tasks in blocks of
+    about at_once, by a hash of their id, one pass over the rows each; each task keeps k rows per case."""
+    n = cases.count()
+    blocks = max(1, -(-n // at_once))
+    out = None
+    for block in range(blocks):
+        some = cases.filter(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == block).select("case_id", asked)
+        scored = rows.join(F.broadcast(some), F.col(key) != F.col("case_id")).select("case_id", key, index_score(F.col(embedding), F.col(asked)).alias("score"))
+        best = top_k(scored, k, key, by=["case_id"])
+        out = best if out is None else out.unionByName(best)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), key)))
+
+
 def first_hits(ranked: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
     """case_id, rank of the first relevant result (null if none) and passed (found as expected).
     ranked: case_id, id, rank. relevant: case_id, id. cases: case_id, expect_match."""

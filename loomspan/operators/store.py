@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.common import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new, and those of old whose key new doesn't hold. Keys of new must be unique; a null key
@@ -64,9 +69,9 @@ def last_edges(edges: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def unique_match(pairs: DataFrame, src: str, dst: str) -> DataFrame:
-    """(src, dst, n): the one match of each src, or null with the number of different ones. The smallest
+    """(src, dst, matches): the one match of each src, or null, and whether there are none, one or several. The smallest
     and largest match are compared, so that no list of matches is gathered."""
-    found = pairs.groupBy(src).agg(F.min(dst).alias("_low"), F.max(dst).alias("_high"), F.approx_count_distinct(dst).alias("_about"))
+    found = pairs.groupBy(src).agg(F.min(dst).alias("_low"), F.max(dst).alias("_high"))
     return found.select(src, F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(dst), F.when(F.col("_low").isNull(), "none").when(F.col("_low") == F.col("_high"), "one").otherwise("several").alias("matches"))
 
 
@@ -136,6 +141,43 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str, start: s
     return points.join(best, [group, at], "left")
 
 
+def next_in_order(rows: DataFrame, by: str, order: list[str], key: str) -> DataFrame:
+    """(key, next_<key>): the row that follows each within its group, for all but the groups' last rows; by
+    `order` and then the key. Null groups are one group, and nulls come first.
+
+    Rows are sorted over all tasks by ranges, so a group may span any number of them. Each task pairs its
+    own rows, and one row is carried over each border."""
+    sorted_ = cut(rows.select(by, *order, key).repartitionByRange(by, *order, key).sortWithinPartitions(by, *order, key)).select(by, key, F.spark_partition_id().alias("_p"))
+    group, kind = rows.schema[by].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
+            ahead, n = table.slice(1), table.num_rows - 1
+            edge = pa.array([first and k == 0 for k in range(n)], pa.bool_())
+            if n:
+                yield pa.RecordBatch.from_arrays([table.column(0).slice(0, n).combine_chunks(), table.column(1).slice(0, n).combine_chunks(), ahead.column(0).combine_chunks(), ahead.column(1).combine_chunks(), table.column(2).slice(0, n).combine_chunks(), edge, pa.array([False] * n)], names=names)
+                first = False
+            held = table.slice(table.num_rows - 1).to_batches()[0]
+        if held is not None:
+            none = pa.nulls(1, held.column(0).type), pa.nulls(1, held.column(1).type)
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), *none, held.column(2), pa.array([first]), pa.array([True])], names=names)
+
+    names = ["group", "key", "next_group", "next_key", "part", "opens", "closes"]
+    paired = cut(sorted_.mapInArrow(pair, f"group {group}, key {kind}, next_group {group}, next_key {kind}, part int, opens boolean, closes boolean"))
+    within = paired.filter("NOT closes AND group <=> next_group").select(F.col("key").alias(key), F.col("next_key").alias(f"next_{key}"))
+    borders = paired.filter("opens OR closes")  # two rows of each task at most
+    last = borders.filter("closes").select("part", F.col("group").alias("g"), F.col("key").alias(key))
+    opening = borders.filter("opens").select("part", F.col("group").alias("next_g"), F.col("key").alias("next_key"))
+    both = last.join(opening, "part").withColumn("_next", F.lead(F.struct("next_g", "next_key")).over(Window.orderBy("part")))
+    over = both.filter("_next IS NOT NULL AND g <=> _next.next_g").select(key, F.col("_next.next_key").alias(f"next_{key}"))
+    return within.unionByName(over)
+
+
 def rank_by_preference(rows: DataFrame, by: list[str], preference: Column, position: str) -> DataFrame:
     """The row of each group that comes first by preference, then by position."""
     order = Window.partitionBy(*by).orderBy(preference, position)

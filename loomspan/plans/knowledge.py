@@ -119,10 +119,11 @@ def coalesce_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconcile_stale(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of files taken in again that their current rows no longer hold."""
-    rows = table(spark, d, "code_entities").filter("qualified_name IS NOT NULL AND file_path IS NOT NULL")
-    old = rows.select("file_path", "qualified_name").distinct()
-    return S.reconcile(old, _entities(spark, d).select("file_path", "qualified_name"), "file_path", ["qualified_name"])
+    """Sections of files taken in again that these no longer hold: all keys ever seen against the live ones."""
+    path = F.regexp_extract("id", "^(.*)::s[0-9]+$", 1)
+    rows = table(spark, d, "sections").filter("id IS NOT NULL").select(path.alias("path"), "id")
+    live = current_rows(table(spark, d, "sections"), "id", "title").filter("live").select(path.alias("path"), "id")
+    return S.reconcile(rows.distinct(), live, "path", ["id"])
 
 
 def orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +131,9 @@ def orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stub_targets(spark: SparkSession, d: str) -> DataFrame:
-    calls = _edges(spark, d).filter("type = 'CALLS'")
-    return S.stubs(calls, _entities(spark, d), "dst", "qualified_name")
+    """Tables that others refer to and that don't exist."""
+    refs = _edges(spark, d).filter("type = 'REFERENCES'")
+    return S.stubs(refs, _tables(spark, d).select(folded_name(F.col("qualified_name")).alias("qualified_name")), "dst", "qualified_name")
 
 
 def unique_match_or_none(spark: SparkSession, d: str) -> DataFrame:
@@ -250,9 +252,10 @@ coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (bucket = 'table'),
     "ingest_skip_unchanged": f"WITH {_TAKES} SELECT w.path, w.r[2] AS content_hash FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = w.path AND o.r[2] = w.r[2])",
     "upsert_sources": f"WITH {_TAKES} SELECT w.path, CASE WHEN o.r[2] = w.r[2] THEN o.r[2] ELSE w.r[2] END AS content_hash, CASE WHEN o.r[2] = w.r[2] THEN o.r[3] ELSE w.r[3] END AS source_type FROM w JOIN o USING (path)",
     "coalesce_upsert": f"WITH {_TAKES} SELECT w.path, w.r[2] AS content_hash, coalesce(CASE WHEN length(w.path) % 2 = 0 THEN w.r[3] END, o.r[3]) AS source_type FROM w JOIN o USING (path)",
-    "reconcile_stale": f"WITH {_E} SELECT DISTINCT file_path, qualified_name FROM code_entities c WHERE qualified_name IS NOT NULL AND file_path IS NOT NULL AND file_path IN (SELECT file_path FROM e) AND qualified_name NOT IN (SELECT qualified_name FROM e)",
+    "reconcile_stale": """WITH s AS (SELECT id, regexp_extract(id, '^(.*)::s[0-9]+$', 1) AS path, arg_max(deleted_at IS NOT NULL, ingested_at) AS gone FROM sections WHERE id IS NOT NULL GROUP BY 1)
+SELECT path, id FROM s WHERE gone AND path IN (SELECT path FROM s WHERE NOT gone)""",
     "orphan_sweep": f"WITH {_G}, {_N} SELECT label, key FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = n.key) AND NOT EXISTS (SELECT 1 FROM g WHERE g.dst = n.key)",
-    "stub_targets": f"WITH {_G} SELECT DISTINCT dst AS qualified_name FROM g WHERE type = 'CALLS' AND NOT EXISTS (SELECT 1 FROM e WHERE e.qualified_name = g.dst)",
+    "stub_targets": f"WITH {_G} SELECT DISTINCT dst AS qualified_name FROM g WHERE type = 'REFERENCES' AND dst NOT IN (SELECT {_FOLD.format('qualified_name')} FROM t)",
     "unique_match_or_none": f"WITH {_E} SELECT name, CASE WHEN count(DISTINCT qualified_name) = 1 THEN min(qualified_name) END AS qualified_name, CASE WHEN count(DISTINCT qualified_name) = 1 THEN 'one' ELSE 'several' END AS matches FROM e WHERE name IS NOT NULL GROUP BY 1",
     "fallback_key_match": f"""WITH {_G}, q AS (SELECT DISTINCT CASE WHEN length(dst) % 2 = 0 THEN dst ELSE regexp_extract(dst, '[^.]*$') END AS ref FROM g WHERE type = 'REFERENCES'),
 u AS (SELECT regexp_extract(qualified_name, '[^.]*$') AS simple, min(qualified_name) AS k FROM t GROUP BY 1 HAVING count(DISTINCT qualified_name) = 1)

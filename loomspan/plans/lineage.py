@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(_links(spark, d))
+    return H.hierarchy(_links(spark, d)).withColumns({"path": F.array_join("path", " / "), "height": F.coalesce("height", F.lit(-1))})
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -68,26 +68,31 @@ links AS (SELECT 'sections' AS t, k, CASE WHEN trim(coalesce(r.v, '')) <> '' THE
  UNION ALL SELECT 'code_entities', k, CASE WHEN trim(coalesce(r.v, '')) <> '' THEN r.v END FROM c WHERE NOT r.gone)"""
 
 # Walks up from every node and stops on a second meeting: a node that meets itself is on a circle.
-_P2_WALK = f"""WITH RECURSIVE {_P2_LINKS},
-walk AS (SELECT t, k, k AS cur, [k] AS seen FROM links
- UNION ALL SELECT w.t, w.k, l.p, list_append(w.seen, l.p) FROM walk w JOIN links l ON l.t = w.t AND l.k = w.cur
+_P2_RING = """round AS (SELECT t, k, k AS cur, [k] AS seen FROM links
+ UNION ALL SELECT w.t, w.k, l.p, list_append(w.seen, l.p) FROM round w JOIN links l ON l.t = w.t AND l.k = w.cur
  JOIN links u ON u.t = l.t AND u.k = l.p WHERE len(w.seen) < 2 OR NOT list_contains(w.seen[1:-2], w.cur)),
-ring AS (SELECT t, k, list_min(seen) AS least FROM walk WHERE cur = k AND len(seen) > 1)
-"""
-ORACLE = {
-    "p2_found": _P2_WALK + "SELECT t AS node_table, k AS node_key, min(least) AS cycle_key FROM ring GROUP BY 1, 2",
-    "p3_found": _P3 + "SELECT DISTINCT src_table, src_key, target_key FROM found",
-    "p3_by_month": _P3
-    + """SELECT src_table, strftime(first_at AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n_refs, count(DISTINCT src_key) AS n_keys
-FROM found GROUP BY 1, 2, 3""",
-    "p2_descendants": f"""WITH RECURSIVE {_P2_LINKS},
+ring AS (SELECT t, k, list_min(seen) AS least FROM round WHERE cur = k AND len(seen) > 1)"""
+_P2_PAIRS = f"""{_P2_LINKS},
 walk AS (SELECT l.t, l.k AS d, l.p AS a, 1 AS distance, [l.k, l.p] AS seen FROM links l JOIN links u ON u.t = l.t AND u.k = l.p
  WHERE l.p <> l.k
  UNION ALL SELECT w.t, w.d, l.p, w.distance + 1, list_append(w.seen, l.p) FROM walk w JOIN links l ON l.t = w.t AND l.k = w.a
  JOIN links u ON u.t = l.t AND u.k = l.p WHERE NOT list_contains(w.seen, l.p)),
 ringed AS (SELECT DISTINCT w.t, w.d AS k FROM walk w JOIN links l ON l.t = w.t AND l.k = w.a AND l.p = w.d
- UNION SELECT t, k FROM links WHERE k = p)
-SELECT w.t AS node_table, w.a AS ancestor_key, w.d AS descendant_key, CAST(w.distance AS INTEGER) AS distance FROM walk w
-WHERE NOT EXISTS (SELECT 1 FROM ringed r WHERE r.t = w.t AND r.k = w.d)
-AND w.distance <= (SELECT coalesce(min(v.distance), 1000000) FROM walk v JOIN ringed r ON r.t = v.t AND r.k = v.a WHERE v.t = w.t AND v.d = w.d)""",
+ UNION SELECT t, k FROM links WHERE k = p),
+pairs AS (SELECT w.* FROM walk w WHERE NOT EXISTS (SELECT 1 FROM ringed r WHERE r.t = w.t AND r.k = w.d)
+ AND w.distance <= (SELECT coalesce(min(v.distance), 1000000) FROM walk v JOIN ringed r ON r.t = v.t AND r.k = v.a WHERE v.t = w.t AND v.d = w.d))"""
+ORACLE = {
+    "p2_found": f"WITH RECURSIVE {_P2_LINKS}, {_P2_RING} SELECT t AS node_table, k AS node_key, min(least) AS cycle_key FROM ring GROUP BY 1, 2",
+    "p3_found": _P3 + "SELECT DISTINCT src_table, src_key, target_key FROM found",
+    "p3_by_month": _P3
+    + """SELECT src_table, strftime(first_at AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n_refs, count(DISTINCT src_key) AS n_keys
+FROM found GROUP BY 1, 2, 3""",
+    "p2_descendants": f"""WITH RECURSIVE {_P2_PAIRS}
+SELECT t AS node_table, a AS ancestor_key, d AS descendant_key, CAST(distance AS INTEGER) AS distance FROM pairs""",
+    "p2_hierarchy": f"""WITH RECURSIVE {_P2_PAIRS}, {_P2_RING}, circle AS (SELECT t, k, min(least) AS cycle_key FROM ring GROUP BY 1, 2),
+up AS (SELECT t, d AS k, count(*) AS depth, string_agg(a, ' / ' ORDER BY distance DESC) AS above, arg_max(a, distance) AS top FROM pairs GROUP BY 1, 2),
+down AS (SELECT t, a AS k, count(*) AS n, max(distance) AS height FROM pairs GROUP BY 1, 2)
+SELECT l.t AS node_table, l.k AS node_key, l.p AS parent_key, coalesce(o.cycle_key, r.cycle_key, u.top, l.k) AS root_key, CAST(coalesce(u.depth, 0) AS INTEGER) AS depth,
+ coalesce(u.above || ' / ', '') || l.k AS path, 1 + coalesce(b.n, 0) AS subtree_size, CASE WHEN o.k IS NULL THEN CAST(coalesce(b.height, 0) AS INTEGER) ELSE -1 END AS height, o.k IS NOT NULL AS on_cycle, o.cycle_key
+FROM links l LEFT JOIN up u ON u.t = l.t AND u.k = l.k LEFT JOIN down b ON b.t = l.t AND b.k = l.k LEFT JOIN circle o ON o.t = l.t AND o.k = l.k LEFT JOIN circle r ON r.t = u.t AND r.k = u.top""",
 }

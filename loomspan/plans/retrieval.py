@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.common import WHITE, table
+from loomspan.common import WHITE, cut, table
 from loomspan.functions import text as T
+from loomspan.operators import lookup as L
 from loomspan.operators import retrieval as R
+from loomspan.operators import store as S
 from loomspan.sources import sqlscan
 
 QUERY = "which service keeps the lookup tables in memory"
@@ -16,8 +18,13 @@ TOP = 10
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk id; copies are identical."""
-    return table(spark, d, "chunks").filter("id IS NOT NULL").groupBy("id").agg(*(F.max(c).alias(c) for c in ("section_id", "chunk_order", "text", "embedding", "start_page", "end_page")))
+    """The rows with an id; several may share one, and then are copies."""
+    return table(spark, d, "chunks").filter("id IS NOT NULL")
+
+
+def _once(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per chunk id of the columns asked for, so that no more is shuffled."""
+    return rows.groupBy("id").agg(*(F.max(c).alias(c) for c in columns))
 
 
 def _vector(spark: SparkSession, d: str, vec_id: int = 7) -> DataFrame:
@@ -29,11 +36,11 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _finish(R.top_k(R.vector_scores(_chunks(spark, d), "id", "embedding", _vector(spark, d)), TOP, "id"))
+    return _finish(R.top_k(R.vector_scores(_chunks(spark, d), "id", "embedding", _vector(spark, d), copies=True), TOP, "id"))
 
 
 def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _finish(R.top_k(R.bm25(_chunks(spark, d), "id", "text", QUERY), TOP, "id"))
+    return _finish(R.top_k(R.bm25(_chunks(spark, d), "id", "text", QUERY, copies=True), TOP, "id"))
 
 
 def fulltext_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +48,7 @@ def fulltext_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP))
+    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP, copies=True))
 
 
 def _in_docs():
@@ -49,28 +56,30 @@ def _in_docs():
 
 
 def hybrid_search_filtered_pre(spark: SparkSession, d: str) -> DataFrame:
-    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP, _in_docs()))
+    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP, _in_docs(), copies=True))
 
 
 def hybrid_search_filtered_post(spark: SparkSession, d: str) -> DataFrame:
-    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP, _in_docs(), filter_first=False))
+    return _finish(R.hybrid(_chunks(spark, d), "id", "text", "embedding", QUERY, _vector(spark, d), TOP, _in_docs(), filter_first=False, copies=True))
 
 
 def hybrid_multi_variant(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d)
-    each = [R.hybrid(rows, "id", "text", "embedding", q, _vector(spark, d, 7 + i), TOP * 1) for i, q in enumerate(VARIANTS)]
+    each = [R.hybrid(rows, "id", "text", "embedding", q, _vector(spark, d, 7 + i), TOP, copies=True) for i, q in enumerate(VARIANTS)]
     return _finish(R.top_k(R.fold_variants(each, "id"), TOP, "id"))
 
 
 def hybrid_rerank_length(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d)
-    found = R.hybrid(rows, "id", "text", "embedding", QUERY, _vector(spark, d), TOP).join(rows.select("id", "text"), "id")
+    best = cut(R.hybrid(rows, "id", "text", "embedding", QUERY, _vector(spark, d), TOP, copies=True))
+    found = best.join(_once(rows.join(F.broadcast(best.select("id")), "id", "left_semi"), "text"), "id")  # TOP ids at most
     return _finish(R.rerank(found, "id", F.col("text"), F.length)).select("id", "score", F.col("rerank_score").cast("long").alias("rerank_score"), "position")
 
 
 def minmax_by_source(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("score"))
-    return docs.filter("score IS NOT NULL").select("doc_id", F.round(R.min_max("score", ["source"]), 6).alias("scaled"))
+    known = docs.filter("score IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("")))
+    return R.min_max(known, "score", ["source"]).select("doc_id", F.round("score", 6).alias("scaled"))
 
 
 def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +102,8 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_next(spark: SparkSession, d: str) -> DataFrame:
     path = F.regexp_extract("section_id", "^(.*)::s[0-9]+$", 1)
-    rows = _chunks(spark, d).select("id", "section_id", "chunk_order", path.alias("path"))
-    follow = F.expr("lead(id) OVER (PARTITION BY path ORDER BY section_id, chunk_order, id)")
-    return rows.select("id", follow.alias("next_id")).filter("next_id IS NOT NULL")
+    rows = _once(_chunks(spark, d), "section_id", "chunk_order").withColumn("path", path)
+    return S.next_in_order(rows, "path", ["section_id", "chunk_order"], "id")
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -105,25 +113,21 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_text(spark: SparkSession, d: str, most: int = 8000) -> DataFrame:
-    """Sections with their whole text, cut to `most` characters, and the ids of their children."""
-    chunks = _chunks(spark, d).groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "id", "text"))).alias("c"))
+    """Sections with their whole text, cut to `most` characters, and how many children they have."""
     sections = _sections(spark, d)
-    children = sections.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("of_id")).agg(F.count(F.lit(1)).alias("n_children"))
-    text = F.array_join(F.transform("c", lambda x: F.coalesce(x["text"], F.lit(""))), "\n\n")
+    texts = L.section_texts(_once(_chunks(spark, d), "section_id", "chunk_order", "text"), most)
+    children = sections.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
     return (
-        sections.join(chunks, F.col("id") == F.col("section_id"), "left")
-        .join(children, F.col("id") == F.col("of_id"), "left")
-        .select(
-            "id", "title", F.md5(F.substring(F.coalesce(text, F.lit("")), 1, most)).alias("text_hash"), (F.length(F.coalesce(text, F.lit(""))) > most).alias("truncated"),
-            F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
-        )
-    )
+        sections.join(texts.withColumnRenamed("section_id", "id"), "id", "left")
+        .join(children, "id", "left")
+        .select("id", "title", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
+    )
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     crumbs = table(spark, d, "sections").filter("id IS NOT NULL").groupBy(F.col("id").alias("section_id")).agg(F.max("breadcrumb").alias("breadcrumb"))
     path = F.regexp_extract("section_id", "^(.*)::s[0-9]+$", 1)
-    rows = _chunks(spark, d).join(crumbs, "section_id")
+    rows = _once(_chunks(spark, d), "section_id", "start_page", "end_page").join(crumbs, "section_id")
     return rows.select("id", T.citation(path, F.col("breadcrumb"), F.col("start_page"), F.col("end_page")).alias("citation"))
 
 
@@ -143,10 +147,10 @@ def eval_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth vector as a case: rank of the first of its label among the ten nearest others."""
     e = table(spark, d, "embeddings")
     cases = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    scored = e.join(F.broadcast(cases), F.col("vec_id") != F.col("case_id")).select("case_id", F.col("vec_id").alias("id"), (F.col("label") == F.col("wanted")).alias("hit"), R.index_score(F.col("embedding"), F.col("q")).alias("score"))
-    best = R.top_k(scored, 10, "id", by=["case_id"])
-    ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id)"))
-    found = R.first_hits(ranked, ranked.filter("hit").select("case_id", "id"), cases.select("case_id", F.lit(True).alias("expect_match")))
+    ranked = R.by_cases(e, cases, 10, "vec_id", "embedding", "q").withColumnRenamed("vec_id", "id")
+    labels = e.select(F.col("vec_id").alias("id"), "label")
+    hits = ranked.join(labels, "id").join(cases.select("case_id", "wanted"), "case_id").filter("label = wanted").select("case_id", "id")
+    found = R.first_hits(ranked, hits, cases.select("case_id", F.lit(True).alias("expect_match")))
     return found.withColumn("first_rank", F.coalesce("first_rank", F.lit(0)))  # 0: none
 
 
@@ -201,7 +205,8 @@ f{tag} AS (SELECT id, round(0.7 * v + 0.3 * coalesce(t, 0.0), 9) AS score FROM v
 
 _WS = f"list_filter(string_split_regex(coalesce(text, ''), '{WHITE}'), lambda w: w <> '')"
 _SYN = ", ".join(f"('{k}', '{v}')" for k, v in R.SYNONYMS.items())
-_NOISE = r"regexp_replace(regexp_replace(regexp_replace(content, '/\*.*?\*/', ' ', 'gs'), '''(''''|[^''])*''', ' ', 'g'), '--[^\n]*|#[ \t][^\n]*', ' ', 'g')"
+# Comments and literals in one pass, whichever opens first, as a lexer reads them.
+_NOISE = r"regexp_replace(content, '/\*.*?\*/|''(?:''''|[^''])*''|--[^\n]*', ' ', 'gs')"
 _LAST = "list_transform({0}, lambda x: regexp_extract(x, '[^.]*$'))"
 _SECRET = " OR ".join(f"contains(lower('app.' || key), '{m}')" for m in T.SECRET_MARKERS)
 ORACLE = {

@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -39,7 +40,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def compared(frame):
     """Rows of a pandas frame with sorted columns, in an order of their own, values as text."""
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if x is None or x != x else str(x) for x in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("" if x is None or x is pandas.NA or x != x else str(x) for x in row) for row in frame.itertuples(index=False))
 
 
 def by_duckdb(sql, folder):
