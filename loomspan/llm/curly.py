@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from loomspan.sources import lexers
 from loomspan.sources.lexers import Token
 from loomspan.llm.parsers import Fault, Parser
@@ -907,6 +909,7 @@ _J_STATEMENTS = frozenset("if while do for return throw break continue assert sy
 
 def parse_java(text: str) -> list[Fault]:
     p = JavaParser(text)
+    p.errors += [(t.at, "a digit that octal numbers don't have") for t in p.tokens if t.kind == "num" and re.fullmatch(r"0[0-7_]*[89][\d_]*[lL]?", t.text)]
     p.unit()
     return p.faults()
 
@@ -1615,5 +1618,6 @@ _S_STATEMENTS = frozenset("if while do for return throw break continue debugger
 
 def parse_javascript(text: str) -> list[Fault]:
     p = ScriptParser(text)
+    p.errors += [(t.at, "a zero before a number of a module") for t in p.tokens if t.kind == "num" and re.fullmatch(r"0\d[\d_]*\.?[\d_]*", t.text)]
     p.module()
     return p.faults()

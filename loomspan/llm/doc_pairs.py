@@ -227,8 +227,10 @@ _DIRECTIVE = re.compile(
     r"nosonar|checkstyle|noinspection|suppress\w*|@formatter|sqlfluff|nolint|spotless|region|endregion|vim:|-\*-)"
 )
 _LEGAL = re.compile(
-    r"(?i)copyright|\(c\)\s*\d{4}|©|all rights reserved|licen[cs]ed? |under the .*licen[cs]e|spdx-|no warranty|warranties|without warranty|"
-    r"auto-?generated|^\W*generated\b|generated (?:by|from|code|with|file)|do not (?:edit|modify)|created by .*generator|changes will be lost|@generated"
+    r"(?i)copyright|\(c\)\s*\d{4}|©|all rights reserved|licen[cs]ed\s+(?:under|to\s+the|by|as)\b|\bunder\s+the\b.*\blicen[cs]e|\b(?:see|read)\b.*\blicen[cs]e\b|\blicen[cs]e\s*(?:[:=]|header|notice|file|text|terms|agreement|information|,?\s*v(?:ersion)?\b|\d)"
+    r"|\b(?:apache|mit|bsd|[al]?gpl|mpl|epl|isc|eclipse|mozilla|public|creative\s+commons)\b[\w\s.-]*\blicen[cs]e|spdx-|no warranty|warranties|without warranty"
+    r"|auto-?generated|^\W*generated\W*$|^\W*generated\s+(?:by|from|code|with|file|on|at|using|automatically|source|sources|class|stub|stubs)\b|generated (?:by|from|code|with|file)|do not (?:edit|modify)"
+    r"|created by .*generator|changes will be lost|@generated"
 )
 _REFERENCE = re.compile(
     r"(?i)^\W*(?:@?see(?: also)?\b(?:\W+(?:the|other|above|below|there|docs?|documentation|readme|manual|super\w*|parent|base|class|interface|method|function|of|in|for|[#\w.]*[#.(]\S*|\{@link[^}]*\}|https?:\S+))*\W*$"
@@ -242,6 +244,16 @@ _NAMED = re.compile(r"^\s*\*{0,2}(\w+)\s*(?:\([^)]*\))?\s*:(?!:)\s*")
 _CODE = re.compile(
     r"^\s*(?:.*[;{}]|[)\]}]+[;,]?|[\w.]+(?:\[[^\]]*\])?\s*(?:[-+*/|&]?=|:=)\s*\S.*|[\w.]+\([^()]*\)|(?:if|for|while|elif|with|def|class|try|else)\b.*:|(?:return|yield|raise|throw|await|del)\b\s*[\w.]*[\[({].*|return\s+[\w.]+)\s*$"
 )
+# Words that open statements of the languages, which prose doesn't open with.
+_STATEMENT = re.compile(r"\s*(?:return|throw|raise|yield|await|delete|del|new|import|from|package|final|private|public|protected|static|var|let|const|int|long|double|float|boolean|char|void|class|goto|end|begin|commit|call|perform)\b")
+_PROSE = re.compile(r"\s*[^\W\d_]+(?:,?\s+[^\W\d_]+){2,}\s*;\s*$")  # words alone, three at least
+
+
+def _is_code(line: str) -> bool:
+    """Whether a line is a statement rather than a sentence that happens to end like one."""
+    return bool(_CODE.match(line)) and not (_PROSE.match(line) and not _STATEMENT.match(line))
+
+
 # Words that only hold a place, and words that add nothing to a name.
 _PLACEHOLDER = frozenset(
     """todo fixme xxx tbd na none null nil n a no not documentation documented document doc docs docstring description desc describe comment comments here follow follows to
@@ -287,7 +299,7 @@ def meaning(doc: str, own: set[str]) -> str:
         if not line.strip() or _DIRECTIVE.match(line) or _SECTIONS.match(line):
             section = section or bool(line.strip())
             continue
-        if code or _CODE.match(line):  # disabled code, within whose brackets all lines are code
+        if code or _is_code(line):  # disabled code, within whose brackets all lines are code
             code = max(0, code + line.count("{") + line.count("(") - line.count("}") - line.count(")"))
             continue
         tag = _TAG.match(line)

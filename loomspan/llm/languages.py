@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "zh", "ja")
@@ -59,6 +59,9 @@ _QUOTED = re.compile(r"\(?[«“„「『\"](?:[^«»“”„「」『』\"\n.!
 _STOP = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+(?![a-zà-öø-ÿа-я])|(?<=[。！？])[」』”）]?\s*")
 _WHOLE = re.compile(r"[.!?…。！？][\"'»”)\]」』*_]*\s*$")
 _RUN = re.compile(r"[^\W\d_]+")
+_THREE_RUNS = re.compile(r"[^\W\d_](?:[^\W\d_]*[\W\d_]+[^\W\d_]){2}")
+# What every match of _CODE and of _QUOTED holds; texts without it needn't be searched by them.
+_MAYBE_CODE, _MAYBE_QUOTED = re.compile(r"[`<_=]|://|\(\)|[A-Za-z0-9]\.[A-Za-z0-9_]|[a-z][A-Z]"), re.compile(r"[«“„「『\"]")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
@@ -73,6 +76,15 @@ def named_language(label: str | None) -> str | None:
     return named.pop() if len(named) == 1 else None
 
 
+def label_language(label: Column) -> Column:
+    """named_language() as a column."""
+    words = F.regexp_extract_all(F.lower(label), F.lit("[a-z]+"), F.lit(0))
+    codes = F.create_map(*(F.lit(x) for pair in sorted(_BY_NAME.items()) for x in pair))
+    full = F.create_map(*(F.lit(x) for pair in sorted(_BY_NAME.items()) if len(pair[0]) > 3 for x in pair))
+    later = F.array_distinct(F.filter(F.transform(F.slice(words, 2, 1 << 30), lambda w: F.try_element_at(full, w)), lambda c: c.isNotNull()))
+    return F.coalesce(F.try_element_at(codes, F.get(words, F.lit(0))), F.when(F.size(later) == 1, F.get(later, F.lit(0))))
+
+
 def whole_sentences(text: str) -> list[str]:
     """The whole sentences of a text, in order, without headings, code, log lines and short quotations.
     Broken lines are joined; list entries and table rows stand for themselves."""
@@ -80,9 +92,13 @@ def whole_sentences(text: str) -> list[str]:
 
     def flush() -> None:
         if paragraph:
-            joined = _QUOTED.sub(" ", _CODE.sub(" § ", " ".join(paragraph)))
+            joined = " ".join(paragraph)
+            if _MAYBE_CODE.search(joined):
+                joined = _CODE.sub(" § ", joined)
+            if _MAYBE_QUOTED.search(joined):
+                joined = _QUOTED.sub(" ", joined)
             for s in _STOP.split(joined):
-                if _WHOLE.search(s) and (len(_RUN.findall(s)) >= 3 or len(_CJK.findall(s)) >= 5):
+                if _WHOLE.search(s) and (_THREE_RUNS.search(s) or len(_CJK.findall(s)) >= 5):
                     out.append(s.strip())
             paragraph.clear()
 
@@ -123,25 +139,35 @@ class Model:
         smooth = 0.1
         total = table.sum(0) + smooth * (len(vocabulary) + 1)
         self.table = np.vstack([np.log((table + smooth) / total), np.log(smooth / total)[None]]).astype(np.float32)
-        self._runs: dict[str, np.ndarray] = {}
-
-    def run(self, run: str) -> np.ndarray:
-        known = self._runs.get(run)
-        if known is None:
-            rows = [self.row.get(g, -1) for g in _grams(run)]
-            known = self.table[rows].sum(0)
-            if len(run) <= 24:
-                if len(self._runs) > 200_000:
-                    self._runs.clear()
-                self._runs[run] = known
-        return known
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the store of runs of letters that were scored."""
+        self._at: dict[str, int] = {}
+        self._known = np.empty((4096, len(LANGUAGES)), np.float32)
+
+    def _place(self, run: str) -> int:
+        """Where a run's log likelihoods lie in the store."""
+        at = self._at.get(run)
+        if at is None:
+            at = self._at[run] = len(self._at)
+            if at == len(self._known):
+                self._known = np.concatenate([self._known, np.empty_like(self._known)])
+            self._known[at] = self.table[[self.row.get(g, -1) for g in _grams(run)]].sum(0)
+        return at
 
     def scores(self, sentences: list[str]) -> np.ndarray:
-        """Tempered log likelihoods, a row per sentence."""
-        out = np.empty((len(sentences), len(LANGUAGES)))
-        for n, s in enumerate(sentences):
-            runs = _RUN.findall(s.lower())
-            out[n] = np.sum([self.run(r) for r in runs], axis=0) if runs else 0.0
+        """Tempered log likelihoods, a row per sentence; 0 for one without letters."""
+        if len(self._at) > 200_000:
+            self.forget()
+        runs = [_RUN.findall(s.lower()) for s in sentences]
+        sizes = np.array([len(r) for r in runs])
+        places = np.fromiter((self._place(r) for some in runs for r in some), np.int64, int(sizes.sum()))
+        out = np.zeros((len(sentences), len(LANGUAGES)))
+        if len(places):
+            full = np.flatnonzero(sizes)
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            out[full] = np.add.reduceat(self._known[places].astype(np.float64), starts, axis=0)
         return TEMPER * out
 
 
@@ -229,21 +255,12 @@ def mixtures(scores: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 15)
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """Whole labelled documents, about per_language at most of each language, drawn by hash of the id."""
-    name = F.udf(named_language, "string", useArrow=False)  # of distinct labels only
-    labels = docs.groupBy("lang").count()
-    codes = {r.lang: (r.code, r["count"]) for r in labels.withColumn("code", name("lang")).filter("code IS NOT NULL").toLocalIterator()}
-    total: Counter = Counter()
-    for code, n in codes.values():
-        total[code] += n
-    if not codes:
-        return []
-    spread = 1_000_000
-    keep = F.lit(None).cast("string")
-    for label, (code, _) in sorted(codes.items()):
-        chosen = (F.col("lang") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(spread * min(1.0, per_language / total[code])))
-        keep = F.when(chosen, code).otherwise(keep)
-    rows = docs.filter(F.length("text") > 0).select("text", keep.alias("code")).filter("code IS NOT NULL")
-    return [(r.text, r.code) for r in rows.toLocalIterator()]
+    labelled = docs.filter(F.length("text") > 0).select("doc_id", "text", label_language(F.col("lang")).alias("code")).filter("code IS NOT NULL")
+    total = {r.code: r["count"] for r in docs.select(label_language(F.col("lang")).alias("code")).filter("code IS NOT NULL").groupBy("code").count().toLocalIterator()}  # ten rows
+    spread, chosen = 1_000_000, F.lit(False)
+    for code, n in sorted(total.items()):
+        chosen = chosen | ((F.col("code") == code) & (F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(spread * min(1.0, per_language / n))))
+    return sorted((r.text, r.code) for r in labelled.filter(chosen).select("text", "code").toLocalIterator())
 
 
 _RESULT = """doc_id long, label string, named string, languages array<struct<lang:string,sentences:int,share:double,confidence:double>>,
@@ -266,7 +283,7 @@ def language_profiles(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model.__new__(Model)
         mine.table, mine.row = shared.value
-        mine._runs = {}
+        mine.forget()
         schema = pa.schema(
             [
                 ("doc_id", pa.int64()), ("label", pa.string()), ("named", pa.string()),

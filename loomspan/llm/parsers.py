@@ -8,6 +8,7 @@ can start, and all errors are kept in order; the first one is the cause.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -26,10 +27,13 @@ class Reject(Exception):
         self.message, self.at = message, at
 
 
+MAX_DEPTH = 20_000  # nesting that is followed, as a guard of memory; deeper is an error
+
+
 class Parser:
     """Tokens with one place; errors are collected as (place, message)."""
 
-    max_depth = 1200  # nesting of expressions and statements that is followed; deeper is an error
+    max_depth = MAX_DEPTH
 
     def __init__(self, text: str, tokens: list[Token], base: int = 0):
         self.text, self.base = text, base
@@ -114,12 +118,42 @@ _PY_COMPARE = ("<", ">", "<=", ">=", "==", "!=")
 _PY_AUGMENTED = ("+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**=")
 
 
+_PREFIX = re.compile("[A-Za-z]*")
+_ESCAPE = re.compile(r"\\(?:(?P<x>x(?![0-9a-fA-F]{2}))|(?P<u>u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8}))|U(?P<code>[0-9a-fA-F]{8})|N\{(?P<name>[^{}]*)\}|(?P<n>N)|[\s\S])")
+
+
+def _bad_literal(text: str) -> str | None:
+    """What is wrong within a literal of Python that opens and closes rightly."""
+    kind = _PREFIX.match(text).group().lower()
+    if "b" in kind and not text.isascii():
+        return "bytes can only contain ASCII characters"
+    if "r" in kind or "f" in kind or "\\" not in text:
+        return None
+    for m in _ESCAPE.finditer(text):
+        if m.group("x"):
+            return "truncated \\x escape"
+        if "b" in kind:
+            continue
+        if m.group("u") or m.group("n"):
+            return "truncated escape"
+        if m.group("code") and int(m.group("code"), 16) > 0x10FFFF:
+            return "no such character"
+        if m.group("name") is not None:
+            try:
+                unicodedata.lookup(m.group("name"))
+            except KeyError:
+                return "unknown character name"
+    return None
+
+
 class PythonParser(Parser):
     """Python 3.13. Expressions return what they are, as far as assignments need to know: name, attr,
     item, tuple, list, star, paren (a target in parentheses), lit, call, gen, other."""
 
     def __init__(self, text: str, tokens: list[Token] | None = None, base: int = 0):
         super().__init__(text, tokens if tokens is not None else lexers.python(text), base)
+        self.errors += [(t.at, why) for t in self.tokens if t.kind == "str" and (why := _bad_literal(t.text))]
+        self.errors += [(t.at, "a digit that isn't ASCII") for t in self.tokens if t.kind == "num" and not t.text.isascii()]
 
     # statements
     def module(self) -> None:
@@ -322,7 +356,7 @@ class PythonParser(Parser):
         self.name()
         self.type_params()
         if self.take("("):
-            self.arguments()
+            self.arguments(bases=True)
         self.suite()
 
     def s_async(self) -> None:
@@ -731,7 +765,7 @@ class PythonParser(Parser):
                 break
         return "await" if waits else kind
 
-    def arguments(self) -> None:
+    def arguments(self, bases: bool = False) -> None:
         keyword = unpacked = False
         n = 0
         while not self.at(")"):
@@ -751,6 +785,8 @@ class PythonParser(Parser):
             else:
                 self.named_expr()
                 if self.at("for", "async"):
+                    if bases:
+                        raise self.fail("a generator among base classes")
                     self.comprehension()
                     if n or (self.at(",") and self.ahead().text != ")"):
                         raise self.fail("generator expression must be parenthesized", at)
@@ -1190,7 +1226,7 @@ class YamlParser:
         """A node that starts here, on a line's first content or behind its indicator; its block lies
         deeper than parent."""
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > MAX_DEPTH:
             raise self.fail("nested too deeply")
         t = self.text
         c = t[self.i]
@@ -1414,7 +1450,7 @@ class YamlParser:
 
     def flow(self) -> None:
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > MAX_DEPTH:
             raise self.fail("nested too deeply")
         close = {"[": "]", "{": "}"}[self.text[self.i]]
         self.i += 1

@@ -48,3 +48,10 @@ def test_operator(spark):
     got = {r.qualified_name: (r.description, r.origin) for r in P.documented_pairs(entities, files, sources).collect()}
     assert got == {"m.f": ("Found in the file.", "file"), "m.g": ("Facts of life.", "docstring"), "m.h": ("Free of files.", "docstring")}
     assert P.documented_pairs(entities.limit(0), files, sources).count() == 0 and P.documented_pairs(entities, files.limit(0), sources).count() == 2
+
+
+def test_facts_that_look_like_notes_or_code_count():
+    facts = ["Licensed users only; others get 403.", "Generated ids are monotonic.", "Requires licence check for tenants.", "Caller must hold lock;"]
+    assert [D.meaning(x, set()) for x in facts] == facts
+    nothing = ["Licensed under the Apache License, Version 2.0", "Generated by protoc. Do not edit.", "See the LICENSE file.", "Generated.", "return total;", "count++;", "int count;"]
+    assert not any(D.meaning(x, set()) for x in nothing)

@@ -1,9 +1,13 @@
+from pyspark.sql import functions as F
+
 from loomspan.llm import languages as L
 
 
-def test_labels():
+def test_labels(spark):
     named = {"EN": "en", "pt-BR": "pt", "es_MX": "es", "German": "de", "zho": "zh", " fr ": "fr", None: None, "": None, "xx": None, "n/a": None, "pl": None, "unknown": None, "Brazilian Portuguese": "pt", "Simplified Chinese": "zh", "lang: de": None, "either german or dutch": None}
     assert {k: L.named_language(k) for k in named} == named
+    rows = spark.createDataFrame([(k,) for k in named], "k string").select("k", L.label_language(F.col("k")).alias("c"))
+    assert {r.k: r.c for r in rows.collect()} == named
 
 
 def test_sentences():
