@@ -7,6 +7,8 @@ Every lexer goes through the whole file whatever it meets: what can't be a token
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 from typing import NamedTuple
 
 
@@ -20,8 +22,12 @@ class Token(NamedTuple):
 
 def line_of(text: str, at: int) -> int:
     """Number of the line of a place, from 1; a lone carriage return ends a line too."""
-    head = text[:at]
-    return head.count("\n") + head.count("\r") - head.count("\r\n") + 1
+    return bisect_right(_line_starts(text), at) + 1
+
+
+@lru_cache(maxsize=4)
+def _line_starts(text: str) -> list[int]:
+    return [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
 
 
 _NUM = r"0[xX][0-9a-fA-F_]+[lLn]?|0[bB][01_]+[lLn]?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[fFdDlLnjJ]?"
@@ -272,6 +278,9 @@ def _f_rest(text: str, at: int, quote: str) -> int:
     return m.end()
 
 
+_INDENT, _LETTER, _AFTER_NUMBER = re.compile(r"[ \t\f]*"), re.compile(r"[^\W\d]"), re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
+
+
 def python(text: str) -> list[Token]:
     """Tokens with nl, indent and dedent. Comments are kept; blank lines give no nl."""
     out: list[Token] = []
@@ -280,7 +289,7 @@ def python(text: str) -> list[Token]:
     alt = [0]  # indents with tabs as one
     while at < n:
         if fresh and not brackets:
-            m = re.compile(r"[ \t\f]*").match(text, at)
+            m = _INDENT.match(text, at)
             head = m.group().rpartition("\f")[2]
             rest = text[m.end() : m.end() + 1]
             at, fresh = m.end(), False
@@ -335,6 +344,8 @@ def python(text: str) -> list[Token]:
                 out.append(Token("err", f"invalid character: {piece!r}", at))
             else:
                 if piece in ("(", "[", "{"):
+                    if len(brackets) == 200:  # as many as the language's own parser follows
+                        out.append(Token("err", "too many nested brackets", at))
                     brackets.append((piece, at))
                 elif piece in _CLOSING:
                     if brackets and brackets[-1][0] == _CLOSING[piece]:
@@ -342,7 +353,7 @@ def python(text: str) -> list[Token]:
                     else:
                         out.append(Token("err", f"unmatched {piece!r}", at))
                         brackets.clear()
-                if kind == "num" and re.compile(r"[^\W\d]").match(text, end) and not re.compile(r"(?:and|else|for|if|in|is|not|or)\b").match(text, end):
+                if kind == "num" and _LETTER.match(text, end) and not _AFTER_NUMBER.match(text, end):
                     out.append(Token("err", "invalid number", at))
                 elif kind == "num" and re.fullmatch(r"0[\d_]*[1-9][\d_]*", piece):
                     out.append(Token("err", "leading zeros in a number", at))
