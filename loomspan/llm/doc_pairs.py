@@ -244,8 +244,8 @@ _NAMED = re.compile(r"^\s*\*{0,2}(\w+)\s*(?:\([^)]*\))?\s*:(?!:)\s*")
 _CODE = re.compile(
     r"^\s*(?:.*[;{}]|[)\]}]+[;,]?|[\w.]+(?:\[[^\]]*\])?\s*(?:[-+*/|&]?=|:=)\s*\S.*|[\w.]+\([^()]*\)|(?:if|for|while|elif|with|def|class|try|else)\b.*:|(?:return|yield|raise|throw|await|del)\b\s*[\w.]*[\[({].*|return\s+[\w.]+)\s*$"
 )
-# Words that open statements of the languages, which prose doesn't open with.
-_STATEMENT = re.compile(r"\s*(?:return|throw|raise|yield|await|delete|del|new|import|from|package|final|private|public|protected|static|var|let|const|int|long|double|float|boolean|char|void|class|goto|end|begin|commit|call|perform)\b")
+# Words that open statements of the languages, which prose doesn't open with, nor with one in capitals.
+_STATEMENT = re.compile(r"\s*(?:return|throw|raise|yield|await|delete|del|new|import|from|package|final|private|public|protected|static|var|let|const|int|long|double|float|boolean|char|void|class|goto|end|begin|commit|call|perform)\b|\s*[A-Z]{3,}\b")
 _PROSE = re.compile(r"\s*[^\W\d_]+(?:,?\s+[^\W\d_]+){2,}\s*;\s*$")  # words alone, three at least
 
 

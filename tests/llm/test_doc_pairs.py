@@ -52,6 +52,6 @@ def test_operator(spark):
 
 def test_facts_that_look_like_notes_or_code_count():
     facts = ["Licensed users only; others get 403.", "Generated ids are monotonic.", "Requires licence check for tenants.", "Caller must hold lock;"]
-    assert [D.meaning(x, set()) for x in facts] == facts
+    assert [P.meaning(x, set()) for x in facts] == facts
     nothing = ["Licensed under the Apache License, Version 2.0", "Generated by protoc. Do not edit.", "See the LICENSE file.", "Generated.", "return total;", "count++;", "int count;"]
-    assert not any(D.meaning(x, set()) for x in nothing)
+    assert not any(P.meaning(x, set()) for x in nothing)
