@@ -17,6 +17,7 @@ def policies_for(policies: DataFrame, resource_type: str) -> DataFrame:
 def allowed_code(
     entities: DataFrame, *, beans: DataFrame | None = None, stereotype: str | None = None, annotations: DataFrame | None = None, annotation: str | None = None, in_module: DataFrame | None = None, module: str | None = None,
     endpoints: DataFrame | None = None, endpoint: str | None = None, destinations: DataFrame | None = None, listens_to: str | None = None, behaviours: DataFrame | None = None, behaviour: str | None = None,
+    invoked: DataFrame | None = None, route: str | None = None,
 ) -> DataFrame:
     """(qualified_name) of the entities that fit every filter set; each is one left semi join, and a class
     also fits by its members. Search the result: filtering comes before the cut to candidates."""
@@ -38,6 +39,8 @@ def allowed_code(
         out = keep(out, endpoints.filter(matches_glob(F.col("path"), endpoint)).select("handler"))
     if listens_to:
         out = keep(out, destinations.filter(F.col("name") == listens_to).select("consumer"))
+    if route:  # invoked: (route, target)
+        out = keep(out, invoked.filter(F.col("route") == route).select("target"))
     if behaviour:
         out = keep(out, behaviours.filter(F.array_contains("behaviours", behaviour)).select("owner"))
     return out.select("qualified_name").distinct()

@@ -44,11 +44,11 @@ def top_k(rows: DataFrame, k: int, key: str, score: str = "score", by: list[str]
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def vector_scores(rows: DataFrame, key: str, embedding: str, query: DataFrame, width: int | None = None, copies: bool = False) -> DataFrame:
-    """(key, score) of all usable rows. query: one row, one column, of a vector; without a row no row scores.
+def vector_scores(rows: DataFrame, key: str, embedding: str, query: DataFrame | list[float], width: int | None = None, copies: bool = False) -> DataFrame:
+    """(key, score) of all usable rows. query: a vector, or one row, one column, of one; without a row no row scores.
     Rows are usable if they are as wide as the query, or `width` where given. copies: rows that repeat a key
     are copies and score once; only keys and scores are shuffled for it."""
-    asked = rows.withColumn("_q", query.scalar()).filter(usable(F.col(embedding), width if width else F.size("_q")))
+    asked = rows.withColumn("_q", query.scalar() if isinstance(query, DataFrame) else F.array(*map(F.lit, query))).filter(usable(F.col(embedding), width if width else F.size("_q")))
     scores = asked.select(key, index_score(F.col(embedding), F.col("_q")).alias("score")).filter("score IS NOT NULL")
     return scores.groupBy(key).agg(F.max("score").alias("score")) if copies else scores
 
@@ -101,8 +101,8 @@ def fuse(vector: DataFrame, text: DataFrame, key: str) -> DataFrame:
     return v.join(t, key, "left").select(key, F.round(VECTOR_WEIGHT * F.col("_v") + TEXT_WEIGHT * F.coalesce("_t", F.lit(0.0)), 9).alias("score"))
 
 
-def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vector: DataFrame, k: int = 5, keep: Column | None = None, filter_first: bool = True, copies: bool = False) -> DataFrame:
-    """(key, score): the k best rows by vector and text. keep: a filter on rows; before the cut to
+def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vector: DataFrame | list[float], k: int = 5, keep: Column | None = None, filter_first: bool = True, copies: bool = False, whole: bool = False) -> DataFrame:
+    """(key, score): the k best rows by vector and text; if whole, all candidates, CANDIDATES times as many. keep: a filter on rows; before the cut to
     candidates by default, else behind the vector's cut and before the text's, where it may leave fewer.
     Both halves' candidates are cut (written) once, as they are read for their bounds and for the join."""
     n = k * CANDIDATES
@@ -113,7 +113,8 @@ def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vec
         allowed = of.select(key)
         v = v if filter_first else v.join(allowed, key, "left_semi")
         scores = scores.join(allowed, key, "left_semi")
-    return top_k(fuse(cut(v), cut(top_k(scores, n, key)), key), k, key)
+    fused = fuse(cut(v), cut(top_k(scores, n, key)), key)
+    return fused if whole else top_k(fused, k, key)
 
 
 def fold_variants(results: list[DataFrame], key: str) -> DataFrame:

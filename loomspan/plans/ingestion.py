@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.common import cut, shared_folder, table
+from loomspan.operators import answers as A
 from loomspan.operators import derive as D
 from loomspan.plans.samples import PROJECT
 from loomspan.sources import files as S
+from loomspan.sources.sqlscan import table_mentions
 from loomspan.streaming import ingest as I
 
 
@@ -143,9 +145,54 @@ def resolver_destinations(spark: SparkSession, d: str) -> DataFrame:
     return D.destinations(Project(spark, d).annotations)
 
 
+def _publications(p: Project) -> DataFrame:
+    return D.publications(p.t["message_site"])
+
+
+def resolver_publications(spark: SparkSession, d: str) -> DataFrame:
+    return _publications(Project(spark, d))
+
+
+def resolver_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """What fills the parameters of endpoints' handlers, and what handlers of exceptions take."""
+    p = Project(spark, d)
+    bound = D.parameter_bindings(p.annotations, p.entities).select("handler", "kind", "name")
+    return bound.unionByName(D.exception_handlers(p.annotations).select("handler", F.lit("exception").alias("kind"), F.col("exception").alias("name")))
+
+
+def resolver_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that SQL in annotations reads and writes."""
+    p = Project(spark, d)
+    rows = cut(D.annotated_statements(p.annotations, p.entities))
+    return table_mentions(rows, "statement", "text").join(rows.select("statement", "method"), "statement").select("method", "name", "mode")
+
+
+def _invoked(p: Project) -> DataFrame:
+    ids = p.t["route"].select(F.col("id").alias("_id"), F.coalesce("route_id", "id").alias("_route"))
+    steps = D.route_targets(p.t["route"], p.entities, p.beans).withColumnRenamed("route", "_id").join(ids, "_id").select("target", F.col("_route").alias("route"))
+    return steps.unionByName(D.consumed_routes(p.annotations, p.entities).select("target", F.col("route_id").alias("route"))).distinct()
+
+
+def resolver_architecture(spark: SparkSession, d: str) -> DataFrame:
+    p = Project(spark, d)
+    ends = D.endpoints(p.entities, p.annotations)
+    return A.architecture(p.beans, ends, p.t["route"], A.listeners(p.annotations, p.entities), D.behaviours(p.annotations), p.entities, D.in_module(p.sources, p.t["module"]), p.t["module"])
+
+
+def resolver_surroundings(spark: SparkSession, d: str) -> DataFrame:
+    """Everything around every bean."""
+    p = Project(spark, d)
+    injected = cut(D.injections(D.injection_points(p.entities, p.annotations, p.t["field"], p.beans), p.beans, D.supertypes(p.entities)))
+    bound = D.bound_properties(p.annotations, p.t["field"], p.t["config_property"], p.beans)
+    ends = D.endpoints(p.entities, p.annotations)
+    calls = ends.filter("outbound").select(F.col("handler").alias("caller"), F.concat_ws(" ", "http_method", "path").alias("service"))
+    return A.bean_surroundings(p.beans, injected, bound, _publications(p), A.listeners(p.annotations, p.entities), calls, _invoked(p), D.behaviours(p.annotations), p.entities)
+
+
 QUERIES = {
     f.__name__: f
     for f in (parsed_counts, parsed_entities, parsed_columns, parsed_xml_beans, parsed_sections, streaming_upsert, stream_activity, resolver_modules, resolver_dependencies, resolver_beans, resolver_injections,
-              resolver_bindings, resolver_persistence, resolver_endpoints, resolver_service_calls, resolver_advice, resolver_mappers, resolver_routes, resolver_destinations)
+              resolver_bindings, resolver_persistence, resolver_endpoints, resolver_service_calls, resolver_advice, resolver_mappers, resolver_routes, resolver_destinations, resolver_publications, resolver_parameters,
+              resolver_statements, resolver_architecture, resolver_surroundings)
 }
 ORACLE = {"stream_activity": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS accesses FROM events GROUP BY 1, 2"}

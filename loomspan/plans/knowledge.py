@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.common import current_rows, table
+from loomspan.common import current_rows, cut, table
+from loomspan.functions.embed import hashing_embedder
+from loomspan.operators import answers as A
 from loomspan.operators import graph as G
+from loomspan.operators import hierarchy as H
 from loomspan.operators import memory as M
+from loomspan.operators import retrieval as R
 from loomspan.operators import store as S
 from loomspan.operators.orphan_refs import folded_name
+from loomspan.plans import lineage as L
+from loomspan.plans.retrieval import _bm25
 
 NOW = "2024-02-15 12:00:00"
+RECALLED = "the report of the service"
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
@@ -87,12 +94,27 @@ def central_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def architecture_outline(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository the number and names of classes, modules and tables."""
-    e = _entities(spark, d).select(F.split_part("file_path", F.lit("/"), F.lit(1)).alias("repository"), F.lower(F.trim("kind")).alias("bucket"), "name")
-    t = _tables(spark, d).select(F.split_part("file_path", F.lit("/"), F.lit(1)).alias("repository"), F.lit("table").alias("bucket"), "name")
-    both = e.unionByName(t).withColumn("repository", F.coalesce("repository", F.lit("unassigned")))
-    names = lambda b: F.array_join(F.array_sort(F.collect_set(F.when(F.col("bucket") == b, F.col("name")))), ",")
-    return both.groupBy("repository").agg(names("class").alias("classes"), names("module").alias("modules"), names("table").alias("tables"))
+    """Per repository its classes, modules and tables, a row each: a repository may have any number."""
+    of = lambda rows, category: rows.select(F.coalesce(F.split_part("file_path", F.lit("/"), F.lit(1)), F.lit("unassigned")).alias("repository"), category.alias("category"), F.col("name").alias("item"))
+    code = of(_entities(spark, d), F.lower(F.trim("kind"))).filter("category IN ('class', 'module')")
+    return code.unionByName(of(_tables(spark, d), F.lit("table"))).filter("item IS NOT NULL").distinct()
+
+
+CODE_QUERY, CODE_TOP = "where is the db config read again", 10
+
+
+def search_called_code(spark: SparkSession, d: str) -> DataFrame:
+    """Code that something calls, by a query whose acronyms are written out in variants."""
+    rows = current_rows(table(spark, d, "code_entities"), "qualified_name", "embed_text", "embedding").filter("live")
+    called = _edges(spark, d).filter("type = 'CALLS'").select(F.col("dst").alias("qualified_name"))
+    found = A.search(rows, "qualified_name", "embed_text", "embedding", CODE_QUERY, hashing_embedder(64), k=CODE_TOP, rewrite=R.query_variants, allowed=rows.select("qualified_name").join(called, "qualified_name", "left_semi"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def source_outline(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of every source: its live sections, each behind the one it belongs to."""
+    sections = current_rows(table(spark, d, "sections"), "id", "title", "parent_id").filter("live")
+    return A.outline(sections, H.hierarchy(H.live_links(table(spark, d, "sections"), "sections", "id", "parent_id")))
 
 
 def _takes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +212,8 @@ def memory_reinforcement(spark: SparkSession, d: str) -> DataFrame:
 def memory_recall(spark: SparkSession, d: str) -> DataFrame:
     m = _memories(spark, d)
     m = m.withColumn("access_count", F.col("access_count") % 20)
-    relevance = m.select("id", F.round((F.col("id") % 97) / 97.0, 6).alias("score"))
+    texts = table(spark, d, "documents").join(m.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")  # a memory's text is the document of its number
+    relevance = R.min_max(cut(R.bm25(texts, "doc_id", "text", RECALLED)), "score").select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
     return M.recall(m, relevance, _now(), 20).select("id", F.round("final_score", 6).alias("final_score"))
 
 
@@ -204,7 +227,7 @@ def memory_important(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_counts, neighbors_both, exists_filters, two_hop, varlength_closure, pagerank, central_entities, architecture_outline, ingest_skip_unchanged, upsert_sources, coalesce_upsert, reconcile_stale,
+    for f in (edge_counts, neighbors_both, exists_filters, two_hop, varlength_closure, pagerank, central_entities, architecture_outline, search_called_code, source_outline, ingest_skip_unchanged, upsert_sources, coalesce_upsert, reconcile_stale,
               orphan_sweep, stub_targets, unique_match_or_none, fallback_key_match, alias_fold_unique, nearest_prefix, interval_enclosing, memory_reinforcement, memory_recall, memory_prune, memory_important)
 }
 
@@ -235,6 +258,27 @@ def _pagerank_sql(projected: str, rounds: int = G.ROUNDS) -> str:
     return ", ".join(parts)
 
 
+def _search_sql() -> str:
+    """search_called_code: each variant's halves over the called code, laid between 0 and 1, weighted; the best over variants."""
+    variants = A.asked_variants(CODE_QUERY, R.query_variants)
+    dot = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+    ok = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    parts = [_G, """c AS (SELECT qualified_name, r.* FROM (SELECT qualified_name, arg_max(struct_pack(embed_text := embed_text, embedding := embedding, gone := deleted_at IS NOT NULL), ingested_at) AS r FROM code_entities WHERE qualified_name IS NOT NULL GROUP BY 1)
+WHERE NOT r.gone AND qualified_name IN (SELECT dst FROM g WHERE type = 'CALLS'))""", f"n AS (SELECT least(count(*) + {CODE_TOP * R.CANDIDATES}, {A.MOST_CANDIDATES}) // {R.CANDIDATES} * {R.CANDIDATES} AS n FROM c)"]
+    scale = lambda s: f"CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS {s}"
+    for i, (text, vector) in enumerate(zip(variants, hashing_embedder(64)(variants), strict=True)):
+        q = "[" + ", ".join(repr(float(x)) for x in vector) + "]"
+        parts += [
+            f"va{i} AS (SELECT qualified_name, round((1 + {dot.format('embedding', q)} / sqrt({dot.format('embedding', 'embedding')} * {dot.format(q, q)})) / 2, 9) AS score FROM c WHERE {ok})",
+            _bm25(f"ta{i}", "c", "qualified_name", text, "embed_text"),
+            f"v{i} AS (SELECT qualified_name, {scale('v')} FROM (SELECT * FROM va{i} ORDER BY score DESC, qualified_name LIMIT (SELECT n FROM n)))",
+            f"t{i} AS (SELECT qualified_name, {scale('t')} FROM (SELECT * FROM ta{i} ORDER BY score DESC, qualified_name LIMIT (SELECT n FROM n)))",
+            f"f{i} AS (SELECT qualified_name, round(0.7 * v + 0.3 * coalesce(t, 0.0), 9) AS score FROM v{i} LEFT JOIN t{i} USING (qualified_name))",
+        ]
+    union = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(variants)))
+    return f"WITH {', '.join(parts)} SELECT qualified_name, round(max(score), 6) AS score FROM ({union}) GROUP BY 1 ORDER BY max(score) DESC, qualified_name LIMIT {CODE_TOP}"
+
+
 ORACLE = {
     "edge_counts": f"WITH {_G} SELECT type, count(*) AS n FROM g GROUP BY 1",
     "neighbors_both": f"""WITH {_G}, {_N}, a AS (SELECT qualified_name AS node FROM e WHERE lower(trim(kind)) = 'class'), f AS (SELECT DISTINCT a.node, n.key AS of FROM a JOIN n ON n.key = a.node OR n.name = a.node),
@@ -246,9 +290,13 @@ AND EXISTS (SELECT 1 FROM e k WHERE k.qualified_name = e.parent AND lower(trim(k
     "varlength_closure": f"WITH RECURSIVE {_G}, c AS (SELECT src, dst FROM g WHERE type = 'REFERENCES' UNION SELECT c.src, g.dst FROM c JOIN g ON g.src = c.dst AND g.type = 'REFERENCES') SELECT DISTINCT src, dst FROM c",
     "pagerank": f"WITH {_G}, {_pagerank_sql(chr(10).join(['SELECT src, dst FROM g WHERE type IN (', repr('CALLS') + ', ' + repr('CONTAINS'), ') UNION ALL SELECT dst, src FROM g WHERE type = ' + repr('CONTAINS')]))} SELECT node, round(pr, 6) AS pagerank FROM r20",
     "central_entities": f"WITH {_G}, {_pagerank_sql('SELECT src, dst FROM g WHERE type = ' + repr('CALLS'))} SELECT node, round(pr, 6) AS pagerank, name, kind FROM r20 JOIN e ON e.qualified_name = node WHERE name IS NOT NULL ORDER BY 2 DESC, node LIMIT 10",
-    "architecture_outline": f"""WITH {_E}, {_T}, b AS (SELECT split_part(file_path, '/', 1) AS repository, lower(trim(kind)) AS bucket, name FROM e UNION ALL SELECT split_part(file_path, '/', 1), 'table', name FROM t)
-SELECT coalesce(repository, 'unassigned') AS repository, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (bucket = 'class'), '') AS classes, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (bucket = 'module'), '') AS modules,
-coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (bucket = 'table'), '') AS tables FROM b GROUP BY 1""",
+    "architecture_outline": f"""WITH {_E}, {_T}, b AS (SELECT file_path, lower(trim(kind)) AS category, name AS item FROM e WHERE lower(trim(kind)) IN ('class', 'module') UNION ALL SELECT file_path, 'table', name FROM t)
+SELECT DISTINCT coalesce(split_part(file_path, '/', 1), 'unassigned') AS repository, category, item FROM b WHERE item IS NOT NULL""",
+    "search_called_code": _search_sql(),
+    "source_outline": f"""WITH RECURSIVE {L._P2_PAIRS}, {L._P2_RING}, title AS (SELECT id, arg_max(title, ingested_at) AS title, arg_max(struct_pack(p := parent_id), ingested_at) AS parent FROM sections WHERE id IS NOT NULL GROUP BY 1),
+up AS (SELECT t, d AS k, count(*) AS depth, string_agg(a, ' / ' ORDER BY distance DESC) AS above FROM pairs GROUP BY 1, 2)
+SELECT regexp_extract(l.k, '^(.*)::s[0-9]+$', 1) AS source_path, l.k AS id, i.title, CAST(coalesce(u.depth, 0) AS INTEGER) AS depth, i.parent.p AS parent_id, coalesce(u.above || ' / ', '') || l.k AS place
+FROM links l JOIN title i ON i.id = l.k LEFT JOIN up u ON u.t = l.t AND u.k = l.k WHERE l.t = 'sections'""",
     "ingest_skip_unchanged": f"WITH {_TAKES} SELECT w.path, w.r[2] AS content_hash FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = w.path AND o.r[2] = w.r[2])",
     "upsert_sources": f"WITH {_TAKES} SELECT w.path, CASE WHEN o.r[2] = w.r[2] THEN o.r[2] ELSE w.r[2] END AS content_hash, CASE WHEN o.r[2] = w.r[2] THEN o.r[3] ELSE w.r[3] END AS source_type FROM w JOIN o USING (path)",
     "coalesce_upsert": f"WITH {_TAKES} SELECT w.path, w.r[2] AS content_hash, coalesce(CASE WHEN length(w.path) % 2 = 0 THEN w.r[3] END, o.r[3]) AS source_type FROM w JOIN o USING (path)",
@@ -269,7 +317,9 @@ SELECT f.path, (SELECT arg_max(module, length(module)) FROM m WHERE f.path = m.m
 SELECT f.qualified_name, (SELECT arg_min(c.class_name, (c.e - c.s, -c.s, c.class_name)) FROM c WHERE c.file_path = f.file_path AND f.start_line BETWEEN c.s AND c.e) AS class_name
 FROM e f WHERE lower(trim(kind)) IN ('function', 'method', 'constructor') AND start_line IS NOT NULL""",
     "memory_reinforcement": f"WITH {_M} SELECT id, round({_REINF}, 6) AS reinforcement FROM m",
-    "memory_recall": f"WITH {_M}, f AS (SELECT id, round(round((id % 97) / 97.0, 6) + CASE WHEN importance THEN 0.15 ELSE 0.0 END + 0.15 * {_REINF}, 9) AS s FROM m WHERE archived_at IS NULL) SELECT id, round(s, 6) AS final_score FROM f ORDER BY s DESC, id LIMIT 20",
+    "memory_recall": f"""WITH {_M}, x AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT id FROM m)), {_bm25("w", "x", "doc_id", RECALLED)},
+y AS (SELECT doc_id AS id, round(CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 6) AS rel FROM w),
+f AS (SELECT id, round(rel + CASE WHEN importance THEN 0.15 ELSE 0.0 END + 0.15 * {_REINF}, 9) AS s FROM m JOIN y USING (id) WHERE archived_at IS NULL) SELECT id, round(s, 6) AS final_score FROM f ORDER BY s DESC, id LIMIT 20""",
     "memory_prune": f"""WITH {_M}, a AS (SELECT id, CASE WHEN archived_at IS NULL AND NOT importance AND (1 + access_count % 5) * exp(-{_AGE.format("last_accessed_at", "2024-03-15 12:00:00")} / 30.0) < 1.2 THEN 'archive'
 WHEN archived_at <= TIMESTAMP '2024-03-15 12:00:00' - INTERVAL 30 DAYS THEN 'delete' END AS action FROM m) SELECT * FROM a WHERE action IS NOT NULL""",
     "memory_important": f"WITH {_M} SELECT id FROM m WHERE archived_at IS NULL AND importance ORDER BY created_at, id",

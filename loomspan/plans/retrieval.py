@@ -183,12 +183,12 @@ def _vec(name: str, source: str, vec_id: int, where: str = "true") -> str:
 FROM (SELECT * FROM {source} WHERE {where}) e, (SELECT embedding FROM embeddings WHERE vec_id = {vec_id}) q WHERE {ok})"""
 
 
-def _bm25(name: str, source: str, key: str, query: str) -> str:
+def _bm25(name: str, source: str, key: str, query: str, text: str = "text") -> str:
     terms = sorted(set(query.split()))
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(CASE WHEN tf{i} > 0 THEN 1 END) AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(terms)))
-    return f"""{name}_t AS (SELECT {key}, len(t) AS dl, {tf} FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {source})),
+    return f"""{name}_t AS (SELECT {key}, len(t) AS dl, {tf} FROM (SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {source})),
 {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM {name}_t),
 {name} AS (SELECT * FROM (SELECT {key}, round({score}, 9) AS score FROM {name}_t, {name}_s) WHERE score > 0)"""
 

@@ -125,6 +125,7 @@ class Java:
                 last = None
         self.package, self.imports, self.wild, self.static = "", {}, [], {}
         self.types: dict[str, str] = {}
+        self.variables: dict[str, dict[str, str]] = {}  # of each type: its fields and their types
         self.records: list[Record] = []
 
     def words(self, i: int, *stops: str) -> tuple[str, int]:
@@ -270,6 +271,8 @@ class Java:
             overloads.setdefault(m["name"], []).append(m["record"]["qualified_name"])
         for m in members:
             m["record"]["calls"] = self.calls(*m["range"], owner, overloads)
+            self.sites(m["record"]["qualified_name"], *m["range"], self.variables.get(owner, {}) | m["parameters"])
+            self.routes(*m["range"])
 
     def type_(self, start: int, i: int, found: list, owner: str | None) -> int:
         t = self.t
@@ -309,7 +312,7 @@ class Java:
         t = self.t
         name = t[open_at - 1].text
         close = _match(t, open_at, "(", ")")
-        types, names = [], []
+        types, names, of_parameters = [], [], []
         for a, b in self.split(open_at + 1, close):
             more, a = self.annotations(a)
             while a < b and t[a].text in ("final",):
@@ -317,8 +320,7 @@ class Java:
             if b - a >= 2:
                 types.append("".join(x.text for x in t[a : b - 1]).replace("...", "..."))
                 names.append(t[b - 1].text)
-                if more:
-                    self.annotate(f"{owner}.{name}", f"param:{len(names) - 1}", more)
+                of_parameters.append((names[-1], more))
         constructor = name == simple
         qualified = f"{owner}.{name}({','.join(re.sub(r'<.*>', '', x) for x in types)})" if owner else name
         i = close + 1
@@ -329,8 +331,10 @@ class Java:
                         docstring=doc_text(self.docs.get(t[start].at)), signature=" ".join(self.text[t[start].at : t[close].at + 1].split()),
                         return_type=None if constructor else "".join(x.text for x in t[k : open_at - 1]), parameter_types=types, parameter_names=names)
         self.records.append(record)
-        members.append({"name": name, "record": record[1], "range": (i, stop)})
+        members.append({"name": name, "record": record[1], "range": (i, stop), "parameters": dict(zip(names, types, strict=True))})
         self.annotate(qualified, "constructor" if constructor else "method", found)
+        for parameter, more in of_parameters:
+            self.annotate(qualified, f"param:{parameter}", more)
         return stop + 1
 
     def field(self, start: int, k: int, stop_at: int, found: list, owner: str | None) -> int:
@@ -340,12 +344,80 @@ class Java:
             end = _match(t, end, t[end].text, {"(": ")", "{": "}"}[t[end].text]) + 1 if t[end].kind == "op" and t[end].text in ("(", "{") else end + 1
         if owner and stop_at - k >= 2 and t[stop_at - 1].kind == "id":
             name, type_ = t[stop_at - 1].text, "".join(x.text for x in t[k : stop_at - 1])
+            self.variables.setdefault(owner, {})[name] = type_
             qualified = f"{owner}.{name}"
             line = lexers.line_of(self.text, t[stop_at - 1].at)
             self.records.append(("field", {"qualified_name": qualified, "owner": owner, "name": name, "type": type_, "type_fqn": self.full(type_), "final": any(x.text == "final" for x in t[start:k]), "initialised": t[stop_at].text == "=", "line": line}))
             self.annotate(qualified, "field", found)
         return end + 1
 
+    def sites(self, member: str, i: int, end: int, variables: dict[str, str]) -> None:
+        """Where a member publishes an event or sends a message to a destination given as a literal."""
+        t, seen = self.t, set()
+        for k in range(i, end - 1):
+            if t[k].kind != "id" or t[k + 1].text != "(" or t[k].text not in ("publishEvent", "send", "convertAndSend"):
+                continue
+            given = self.split(k + 2, _match(t, k + 1, "(", ")"))
+            if not given:
+                continue
+            a, b = given[0]
+            if t[k].text == "publishEvent":
+                made = self.words(a + 1, "(", "<")[0] if t[a].text == "new" else variables.get(t[a].text) if b - a == 1 else None
+                site = ("event-publish", None, made and self.full(made))
+            else:
+                receiver = t[k - 2].text if t[k - 1].text == "." else ""
+                kind = re.sub(r"<.*", "", variables.get(receiver, "")).rpartition(".")[2]
+                broker = TEMPLATES.get(kind) or next((v for n, v in BROKER_NAMES.items() if n in receiver.lower()), None)
+                site = ("message-send", broker, self.value(a, b) if broker and b - a == 1 and t[a].kind == "str" else None)
+            if site[2] and site not in seen:
+                seen.add(site)
+                self.records.append(("message_site", {"id": sha("\0".join((member, *map(str, site)))), "member": member, "kind": site[0], "broker": site[1], "name": site[2], "file_path": self.path}))
+
+    def routes(self, i: int, end: int) -> None:
+        """Routes of a member: each from("...") with the calls chained to it."""
+        from loomspan.sources import wiring
+
+        t, k = self.t, i
+        while k < end - 2:
+            if not (t[k].text == "from" and t[k].kind == "id" and t[k + 1].text == "(" and t[k + 2].kind == "str" and t[k - 1].text != "."):
+                k += 1
+                continue
+            chain, at = [], k
+            while at + 1 < end and t[at].kind == "id" and t[at + 1].text == "(":
+                close = _match(t, at + 1, "(", ")")
+                chain.append((t[at].text, [(a, b) for a, b in self.split(at + 2, close)]))
+                at = close + 2 if t[close + 1].text == "." else close + 1
+                if t[close + 1].text != ".":
+                    break
+            self.records.append(self.route(chain, sum(tag == "route" for tag, _ in self.records), wiring))
+            k = max(at, k + 1)
+
+    def route(self, chain: list[tuple[str, list[tuple[int, int]]]], ordinal: int, wiring: Any) -> Record:
+        start, route_id, steps, open_ = self.value(*chain[0][1][0]), None, [], []
+        said = lambda spans: ", ".join(self.text[self.t[a].at : self.t[b - 1].at + len(self.t[b - 1].text)] for a, b in spans) or None
+        for name, given in chain[1:]:
+            literal = self.value(*given[0]) if given and given[0][1] - given[0][0] == 1 and self.t[given[0][0]].kind == "str" else None
+            inside = any(x in wiring._CONDITIONS for x in open_)
+            if name == "routeId":
+                route_id = literal
+            elif name in ("end", "endChoice") and open_:
+                open_.pop()
+            elif name in ("when", "otherwise"):
+                if open_ and open_[-1] in ("when", "otherwise"):
+                    open_.pop()
+                open_.append(name)
+                steps.append(wiring._step(name, True, said(given)))
+            elif name in wiring._BRANCHES:
+                open_.append(name)
+                steps.append(wiring._step(name, inside, said(given)))
+            elif name in wiring._ENDPOINTS:
+                steps.append(wiring._step(name, inside, None, uri=literal))
+            elif name in ("bean", "process", "to"):
+                words = [self.text[self.t[a].at : self.t[b - 1].at + len(self.t[b - 1].text)].strip('"') for a, b in given]
+                ref = ".".join([re.sub(r"\.class$", "", words[0]), *words[1:2]]) if words and not words[0].startswith("new ") and "->" not in words[0] else None
+                steps.append(wiring._step(name, inside, None, ref=ref))
+        return wiring._route(self.path, ordinal, route_id, start, steps)
+
     def calls(self, i: int, end: int, owner: str | None, overloads: dict[str, list[str]]) -> list[str]:
         """Targets that the file alone tells: the only overload of the own type, static imports, members of
         imported and own types."""
@@ -367,6 +439,11 @@ class Java:
         return _unique(out)
 
 
+# Types of messaging templates, and parts of names that tell the broker where the type doesn't.
+TEMPLATES = {
+    "KafkaTemplate": "kafka", "KafkaOperations": "kafka", "RabbitTemplate": "rabbit", "AmqpTemplate": "rabbit", "JmsTemplate": "jms", "JmsOperations": "jms", "SqsTemplate": "sqs", "QueueMessagingTemplate": "sqs",
+}
+BROKER_NAMES = {"kafka": "kafka", "rabbit": "rabbit", "amqp": "rabbit", "jms": "jms", "sqs": "sqs"}
 _JAVA_MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default".split())
 
 

@@ -107,6 +107,7 @@ SCHEMAS = {
     "context_import": "file_path string, resource string",
     "sql_statement": "id string, mapper string, statement_id string, kind string, origin string, text string, file_path string, tables array<struct<name:string,mode:string>>",
     "route": "id string, route_id string, file_path string, from_uri string, steps array<struct<index:int,kind:string,uri:string,ref:string,predicate:string,conditional:boolean>>, to_uris array<struct<uri:string,conditional:boolean>>",
+    "message_site": "id string, member string, kind string, broker string, name string, file_path string",
     "source_import": "src string, order int, dst string",
 }
 
