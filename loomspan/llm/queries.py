@@ -105,6 +105,9 @@ def _words(column: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "p5_found": """WITH v AS (SELECT id AS key, embedding AS e FROM chunks UNION ALL SELECT qualified_name, embedding FROM code_entities UNION ALL SELECT qualified_name, embedding FROM db_tables),
+u AS (SELECT key, max(CAST(e AS DOUBLE[])) AS e FROM v WHERE key IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY 1)
+SELECT a.key AS key_a, b.key AS key_b FROM u a JOIN u b ON a.key < b.key WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
     "p1_found": f"""SELECT DISTINCT c.id AS chunk_id FROM chunks c
 LEFT JOIN (SELECT id, max(breadcrumb) AS breadcrumb FROM sections GROUP BY 1) s ON s.id = c.section_id
 WHERE c.id IS NOT NULL AND c.text IS NOT NULL AND {_words("c.text")} + {_words("s.breadcrumb")} > 400""",
