@@ -43,10 +43,13 @@ def streaming_upsert(spark: SparkSession, d: str) -> DataFrame:
     those of entities by language and kind."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     files = table(spark, d, "source_files").filter("content IS NOT NULL").select("path", "content", F.sha2("content", 256).alias("content_hash"))
-    store = I.TableStore(spark, f"{folder}/tables")
-    I.merge_batch(store, files.filter(F.length("path") % 3 > 0), 0)
     again = files.withColumn("content", F.concat("content", F.lit("\n"))).withColumn("content_hash", F.sha2("content", 256))
-    I.merge_batch(store, files.filter(F.length("path") % 3 == 0).unionByName(again.filter(F.length("path") % 3 == 1)), 1)
+    second = files.filter(F.length("path") % 3 == 0).unionByName(again.filter(F.length("path") % 3 == 1))
+    store = I.TableStore(spark, f"{folder}/tables")
+    for arriving in (files.filter(F.length("path") % 3 > 0), second):
+        arriving.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in").writeStream.option("checkpointLocation", f"{folder}/progress")
+        stream.foreachBatch(lambda rows, n: I.merge_batch(store, rows, n)).trigger(availableNow=True).start().awaitTermination()
     n = F.count(F.lit(1)).alias("n")
     counts = store.read("entity", I.stored_schema("entity")).groupBy(F.lit("entity").alias("table"), "language", "kind").agg(n)
     for name in I.TABLES:
