@@ -187,7 +187,7 @@ def test_a_batch_that_fails_shows_nothing(spark, tmp_path):
     read = store.read
 
     def fails(name, *rest):
-        if name == "source_import":
+        if name == "chunk":
             raise OSError("lost")
         return read(name, *rest)
 
