@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.common import cut, cut_counting, spill
@@ -27,6 +27,7 @@ DIMENSIONS = 64
 KEPT = 10  # neighbours of a vector in the graph
 LEAF = 4096  # vectors of a cell, about; a block has at most four times as many
 TREES, TREES_AT_ONCE = 8, 4
+BEAM = 100  # points that a search holds
 ROUNDS = 1  # of joins of neighbours of neighbours, at least
 SETTLED = 0.02  # share of edges changed in a round at which rounds end
 HOT = 128  # vectors naming one that meet at it in one block, about
@@ -501,7 +502,17 @@ def close_pairs(vectors: DataFrame, points: DataFrame, graph: DataFrame, least:
     return both.withColumn("cosine", cosine).filter(F.col("cosine") >= least).select("key_a", "key_b", F.round("cosine", 6).alias("cosine"))
 
 
-def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = KEPT, beam: int = 40, steps: int | None = None, entries: int = 64, others: bool = False) -> DataFrame:
+def search_edges(graph: DataFrame, back: int = 2 * KEPT) -> DataFrame:
+    """(id, other): the edges of a graph, and back from each vector to the `back` nearest of those that name it, so
+    that search reaches vectors that few name. The degree of a vector stays bounded; the limit applies
+    within each task before the shuffle."""
+    edges = graph_edges(graph)
+    order = Window.partitionBy("other").orderBy(F.desc("cosine"), "id")
+    named = edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= back).select(F.col("other").alias("id"), F.col("id").alias("other"))
+    return edges.select("id", "other").unionByName(named).distinct()
+
+
+def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = KEPT, beam: int = BEAM, steps: int | None = None, entries: int = 64, others: bool = False) -> DataFrame:
     """query, key, rank, cosine: the `top` nearest points of each query (query, code) by greedy search.
 
     Every query starts at the same `entries` points, drawn by hash. In each step the beam's points that
@@ -512,7 +523,7 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, top: int = K
     """
     start = points.orderBy(F.xxhash64("key")).limit(entries).select(F.collect_list("id").alias("ids"))
     found = queries.select("query", F.col("code").alias("q")).withColumn("id", F.explode(start.scalar()))
-    edges = graph_edges(graph).select("id", "other")
+    edges = cut(search_edges(graph))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
