@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.common import cut
 from loomspan.functions.text import tokens
 
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.7, 0.3
@@ -95,16 +94,17 @@ def min_max(rows: DataFrame, score: str, by: list[str] | None = None) -> DataFra
 
 def fuse(vector: DataFrame, text: DataFrame, key: str) -> DataFrame:
     """(key, score) of the vector half's rows: both halves laid between 0 and 1 and weighted; text alone
-    brings no row in."""
-    v = min_max(vector, "score").select(key, F.col("score").alias("_v"))
-    t = min_max(text, "score").select(key, F.col("score").alias("_t"))
+    brings no row in. Both halves must lie behind a limit, as each is laid out within one task."""
+    whole = Window.partitionBy(F.lit(0))
+    low, high = F.min("score").over(whole), F.max("score").over(whole)
+    laid = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
+    v, t = vector.select(key, laid.alias("_v")), text.select(key, laid.alias("_t"))
     return v.join(t, key, "left").select(key, F.round(VECTOR_WEIGHT * F.col("_v") + TEXT_WEIGHT * F.coalesce("_t", F.lit(0.0)), 9).alias("score"))
 
 
 def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vector: DataFrame | list[float], k: int = 5, keep: Column | None = None, filter_first: bool = True, copies: bool = False, whole: bool = False) -> DataFrame:
     """(key, score): the k best rows by vector and text; if whole, all candidates, CANDIDATES times as many. keep: a filter on rows; before the cut to
-    candidates by default, else behind the vector's cut and before the text's, where it may leave fewer.
-    Both halves' candidates are cut (written) once, as they are read for their bounds and for the join."""
+    candidates by default, else behind the vector's cut and before the text's, where it may leave fewer."""
     n = k * CANDIDATES
     of = rows.filter(keep) if keep is not None else rows
     v = top_k(vector_scores(of if filter_first else rows, key, embedding, vector, copies=copies), n, key)
@@ -113,7 +113,7 @@ def hybrid(rows: DataFrame, key: str, text: str, embedding: str, query: str, vec
         allowed = of.select(key)
         v = v if filter_first else v.join(allowed, key, "left_semi")
         scores = scores.join(allowed, key, "left_semi")
-    fused = fuse(cut(v), cut(top_k(scores, n, key)), key)
+    fused = fuse(v, top_k(scores, n, key), key)
     return fused if whole else top_k(fused, k, key)
 
 
