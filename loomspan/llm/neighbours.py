@@ -185,28 +185,28 @@ class Cells:
 def _packed(group: np.ndarray, n: int, owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, repeats: bool) -> np.ndarray:
     """A row of bytes for each of n groups: the KEPT best distinct others of the candidates that `group`
     numbers, best first; of equal cosines a hash of both ids decides, so that copies name different ones.
-    owner: ids of the candidates' groups. A pair is fresh only if all its candidates are."""
-    mixed = _mixed(owner, other) >> np.uint64(32)
-    if repeats:
-        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | mixed, kind="stable")
-        group, other, sim, fresh, mixed = group[order], other[order], sim[order], fresh[order], mixed[order]
-        new = np.append(True, (group[1:] != group[:-1]) | (other[1:] != other[:-1])) if len(group) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        if len(start):
-            fresh = np.minimum.reduceat(fresh, start)
-        group, other, sim = group[start], other[start], sim[start]
-    else:
-        order = np.argsort(mixed)
-        group, other, sim, fresh = group[order], other[order], sim[order], fresh[order]
+    owner: ids of the candidates' groups. A pair is fresh only if all its candidates are; they have one cosine."""
     down = (np.float32(2) - sim.astype(np.float32)).view(np.uint32).astype(np.uint64)  # from 1 on, so bits are in order
-    order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | down, kind="stable")
+    place = (group.astype(np.uint64) << np.uint64(32)) | down
+    order = np.argsort(place)
+    place = place[order]
+    same = place[1:] == place[:-1]
+    if same.any():
+        tied = np.append(same, False) | np.append(False, same)
+        few = order[tied]
+        order[tied] = few[np.lexsort((_mixed(owner[few], other[few]), place[tied]))]
     group, other, sim, fresh = group[order], other[order], sim[order], fresh[order]
+    if repeats and same.any():
+        new = np.append(True, (group[1:] != group[:-1]) | (other[1:] != other[:-1]))
+        start = np.flatnonzero(new)
+        fresh = np.minimum.reduceat(fresh, start)
+        group, other, sim = group[start], other[start], sim[start]
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
     rank = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
     fit = rank < KEPT
     ids, sims, flags = np.full((n, KEPT), -1, "<i8"), np.full((n, KEPT), -2, "<f4"), np.zeros((n, KEPT), np.uint8)
-    at = (group[fit], rank[fit])
-    ids[at], sims[at], flags[at] = other[fit], sim[fit], fresh[fit]
+    at = group[fit] * KEPT + rank[fit]
+    ids.ravel()[at], sims.ravel()[at], flags.ravel()[at] = other[fit], sim[fit], fresh[fit]
     return np.hstack([ids.view(np.uint8).reshape(n, -1), sims.view(np.uint8).reshape(n, -1), flags])
 
 
@@ -221,12 +221,14 @@ def _empty(n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.zeros(n + 1, np.int32)), pa.py_buffer(b"")])
 
 
-def _results(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, repeats: bool = True) -> pa.RecordBatch:
-    """Candidates as rows of _STATE without a code, one per owner."""
-    ids, group = np.unique(owner, return_inverse=True)
-    near = _packed(group, len(ids), owner, other, sim, np.ones(len(owner), np.uint8), repeats)
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _empty(n), _binary(near), pa.array(np.full(n, -2, np.float32)), pa.array(np.zeros(n, np.int32))], names=["id", "code", "near", "worst", "fresh"])
+def _results(ids: np.ndarray, i: np.ndarray, j: np.ndarray, sim: np.ndarray, repeats: bool = True) -> pa.RecordBatch:
+    """Candidates, of row i of ids row j, as rows of _STATE without a code, one per row of ids that has any."""
+    has = np.zeros(len(ids), bool)
+    has[i] = True
+    owner, group = ids[has], (np.cumsum(has) - 1)[i]
+    near = _packed(group, len(owner), ids[i], ids[j], sim, np.ones(len(i), np.uint8), repeats)
+    n = len(owner)
+    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), _empty(n), _binary(near), pa.array(np.full(n, -2, np.float32)), pa.array(np.zeros(n, np.int32))], names=["id", "code", "near", "worst", "fresh"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int, most: int | None = None) -> Iterator[tuple[np.ndarray, list]]:
@@ -279,42 +281,70 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _near_in_block(x: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a block's unit vectors of which j may be among the KEPT nearest of i and is nearer
-    than worst[i]. Each pair is multiplied once. Where worst says nothing, a bound comes from an eighth of
-    the block, by which a vector gets more than KEPT candidates but for about one in a hundred."""
-    m = len(x)
+def _places(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few places of a matrix that are true, found by words of eight."""
+    width = hits.shape[1]
+    flat = hits.ravel()
+    full = len(flat) // 8 * 8
+    words = flat[:full].view(np.uint64)
+    word = np.flatnonzero(words != 0)
+    at = np.flatnonzero(words[word].view(bool))
+    at = np.concatenate([word[at >> 3] * 8 + (at & 7), np.flatnonzero(flat[full:]) + full])
+    row = at // width
+    return row, at - row * width
+
+
+def _near_in_block(codes: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of pairs of a block's vectors of which j may be among the KEPT nearest of i and is
+    nearer than worst[i]. Where worst says less, a bound comes from an eighth of the block, whose third
+    nearest is the last to be taken in; by it about nine in ten vectors get KEPT candidates or more. Each
+    pair is multiplied once: rows go by their bound, the least first, so that a pair which passes either
+    bound passes that of the earlier row. Products of codes are whole numbers, as in _cosines()."""
+    x = codes.astype(np.float32)
+    m, square = len(x), np.einsum("ij,ij->i", x, x).astype(np.float64)
+    norm = np.sqrt(square).astype(np.float32)
+
+    def cosines(i: np.ndarray, j: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        return (dot.astype(np.float64) / np.sqrt(np.maximum(square[i] * square[j], 1e-9))).astype(np.float32)
+
     if m <= 512:
-        sim = x @ x.T
+        dot = x @ x.T
+        sim = dot / (norm[:, None] * norm)
         np.fill_diagonal(sim, -3)
         if m > KEPT:
             worst = np.maximum(worst, np.partition(sim, m - KEPT, axis=1)[:, m - KEPT] - 1e-5)
-        return np.nonzero(sim > worst[:, None])
-    part = x[:: 8]
-    few = x @ part.T
-    few[np.arange(0, m, 8), np.arange(len(part))] = -3
-    worst = np.maximum(worst, np.partition(few, len(part) - 3, axis=1)[:, len(part) - 3])
-    low = np.partition(worst, m // 16)[m // 16]  # those that take in more than most do are looked at by themselves
-    odd = np.flatnonzero(worst < low)
-    is_odd = worst < low
-    left, right = [], []
-    for s in range(0, m, 512):
-        sim = x[s : s + 512] @ x[s:].T
-        at = np.flatnonzero(sim > np.minimum(np.maximum(worst[s : s + 512], low), low)[:, None])
-        i, j = np.divmod(at, sim.shape[1])
-        value = sim.ravel()[at]
+        i, j = np.nonzero(sim > worst[:, None])
+        return i, j, cosines(i, j, dot[i, j])
+    part, rows = np.arange(0, m, 8), 256
+    few = (x / norm[:, None]) @ (x[part] / norm[part, None]).T
+    few[part, np.arange(len(part))] = -3
+    worst = worst.copy()
+    open_ = np.flatnonzero(np.count_nonzero(few > worst[:, None], axis=1) > 2)
+    few = few[open_]
+    for _ in range(2):
+        few[np.arange(len(open_)), few.argmax(1)] = -3
+    if len(open_):
+        worst[open_] = few.max(1) - 1e-5
+    order = np.argsort(worst, kind="stable")
+    x, norm, square, worst = x[order], norm[order], square[order], worst[order]
+    least = (worst - np.float32(1e-5)) * norm
+    left, right, value = [], [], []
+    dots, bounds, passed = np.empty(rows * m, np.float32), np.empty(rows * m, np.float32), np.empty(rows * m, bool)
+    for s in range(0, m, rows):
+        some, rest = x[s : s + rows], x[s:]
+        dot, bound, hits = (a[: len(some) * len(rest)].reshape(len(some), -1) for a in (dots, bounds, passed))
+        np.matmul(some, rest.T, out=dot)
+        np.multiply(least[s : s + rows, None], norm[s:], out=bound)
+        i, j = _places(np.greater(dot, bound, out=hits))
+        later = j > i
+        i, j = i[later], j[later]
+        cosine = cosines(i + s, j + s, dot[i, j])
         i, j = i + s, j + s
-        up = (value > worst[i]) & ~is_odd[i] & (j > i)
-        down = (value > worst[j]) & ~is_odd[j] & (j > i)
+        up, down = cosine > worst[i], cosine > worst[j]
         left += [i[up], j[down]]
         right += [j[up], i[down]]
-    for some in np.array_split(odd, -(-len(odd) // 512)) if len(odd) else ():
-        sim = x[some] @ x.T
-        sim[np.arange(len(some)), some] = -3
-        i, j = np.nonzero(sim > worst[some, None])
-        left.append(some[i])
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+        value += [cosine[up], cosine[down]]
+    return order[np.concatenate(left)], order[np.concatenate(right)], np.concatenate(value)
 
 
 def _in_cells(state: DataFrame, cells: Cells, trees: list[int], leaf: int, n: int) -> DataFrame:
@@ -333,43 +363,52 @@ def _in_cells(state: DataFrame, cells: Cells, trees: list[int], leaf: int, n: in
             own, code, least = np.asarray(ids), _codes(codes), np.asarray(worst)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a > 1:
-                    i, j = _near_in_block(_floats(code[a:b]), least[a:b])
-                    i, j = i + a, j + a
-                    yield _results(own[i], own[j], _cosines(code[i], code[j]), repeats=False)
+                    yield _results(own[a:b], *_near_in_block(code[a:b], least[a:b]), repeats=False)
 
     placed = state.select("id", "code", "worst").mapInArrow(assign, "cell long, place long, id long, code binary, worst float")
     tasks = max(12, len(trees) * n // 60_000)
     return placed.repartition(tasks, "cell").sortWithinPartitions("cell", "place").mapInArrow(compare, _STATE)
 
 
-def _edges(state: DataFrame, back: bool, coded: bool, part: int = 0, parts: int = 1) -> DataFrame:
+def _edges(state: DataFrame, back: bool, coded: bool = False, part: int = 0, parts: int = 1) -> DataFrame:
     """Rows (via, id, fresh) of a part of the vectors that name others, each with those that it names; if
-    back, of a part of those named, each with those that name it, and with their code and worst if coded."""
+    back, of a part of those named, each with those that name it, and with their code and worst if coded.
+    Ids are hashes, so parts follow them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            other, _, fresh = _unpacked(_fixed(batch.column(2), _WIDTH))
-            there = other >= 0
-            row = np.repeat(np.arange(len(ids)), KEPT).reshape(-1, KEPT)[there]
-            owner, other, fresh = ids[row], other[there], fresh[there].astype(bool)
-            via, member = (other, owner) if back else (owner, other)
-            fit = _mixed(via) % np.uint64(parts) == part
-            columns = [pa.array(via[fit]), pa.array(member[fit]), pa.array(fresh[fit])]
+            other, _, fresh = _unpacked(_fixed(batch.column(1), _WIDTH))
+            fit = (other >= 0) & (other % parts == part) if back else other >= 0
+            row = np.repeat(np.arange(len(ids)), KEPT).reshape(-1, KEPT)[fit]
+            owner, other, fresh = ids[row], other[fit], fresh[fit].astype(bool)
+            columns = [pa.array(x) for x in ((other, owner, fresh) if back else (owner, other, fresh))]
             if coded:
-                columns += [_binary(_codes(batch.column(1))[row[fit]]), pa.array(np.asarray(batch.column(3))[row[fit]])]
+                columns += [_binary(_codes(batch.column(2))[row]), pa.array(np.asarray(batch.column(3))[row])]
             yield pa.RecordBatch.from_arrays(columns, names=["via", "id", "fresh", "code", "worst"][: len(columns)])
 
-    return state.select("id", "code", "near", "worst").mapInArrow(run, "via long, id long, fresh boolean" + (", code binary, worst float" if coded else ""))
+    rows = state if back else state.filter(F.col("id") % parts == part)
+    return rows.select("id", "near", *(["code", "worst"] if coded else [])).mapInArrow(run, "via long, id long, fresh boolean" + (", code binary, worst float" if coded else ""))
 
 
 def _sized(small: DataFrame, n: int) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def _descend(state: DataFrame, turn: int, part: int = 0, parts: int = 1) -> DataFrame:
+def _meetings(state: DataFrame) -> tuple[DataFrame, dict]:
+    """(via, fresh, blocks) of the vectors at which no edge is fresh, or that more than HOT name; and how
+    many there are of both. One pass, for all parts of a round."""
+    named = state.select(F.col("id").alias("via"), (F.col("fresh") > 0).alias("fresh"), F.lit(0).alias("n"))
+    stats = _edges(state, True).select("via", "fresh", F.lit(1).alias("n")).unionByName(named).groupBy("via").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
+    return cut_counting(
+        stats.select("via", "fresh", F.greatest(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int").alias("blocks")).filter("NOT fresh OR blocks > 1"), hot=F.count_if(F.expr("fresh AND blocks > 1")), done=F.count_if(F.expr("NOT fresh"))
+    )
+
+
+def _descend(state: DataFrame, turn: int, part: int = 0, parts: int = 1, meetings: tuple[DataFrame, dict] | None = None) -> DataFrame:
     """Rows of better neighbours: all vectors that a vector names and all that name it meet at it, and
     pairs of which one came by a fresh edge are compared. part: of so many parts of the vectors met at.
+    meetings: _meetings(state), if it is there already.
 
     Where more than HOT name one vector, these are spread over blocks by a hash, drawn anew in each round,
     and the vectors that it names are in every block. So groups are bounded, and whoever names it meets
@@ -378,47 +417,51 @@ def _descend(state: DataFrame, turn: int, part: int = 0, parts: int = 1) -> Data
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, (ids, fresh, codes, worst) in _whole_groups(batches, 40_000):
             ids, fresh, code, worst = np.asarray(ids), np.asarray(fresh).astype(bool), _codes(codes), np.asarray(worst)
+            order = np.lexsort((ids, group))
+            group, ids = group[order], ids[order]
             once = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))  # those that name each other came twice
             at = np.flatnonzero(once)
-            fresh = np.logical_or.reduceat(fresh, at)
-            group, ids, code, worst = group[at], ids[at], code[at], worst[at]
+            fresh = np.logical_or.reduceat(fresh[order], at)
+            group, ids, code, worst = group[at], ids[at], code[order[at]], worst[order[at]]
             x = _floats(code)
             start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             size = np.diff(np.append(start, len(group)))
             left, right = [], []
             for m in np.unique(size[size > 1]):
                 at = start[size == m][:, None] + np.arange(m)
-                for few in np.array_split(at, -(-at.size * int(m) // 4_000_000)):
-                    sim = np.matmul(x[few], x[few].transpose(0, 2, 1))
-                    new = fresh[few]
-                    g, a, b = np.nonzero((sim > worst[few][:, :, None]) & (new[:, :, None] | new[:, None, :]) & ~np.eye(m, dtype=bool))
-                    left.append(few[g, a])
-                    right.append(few[g, b])
+                for few in np.array_split(at, -(-at.size * int(m) // 500_000)):
+                    y, new = x[few], fresh[few]
+                    hits = np.matmul(y, y.transpose(0, 2, 1)) > worst[few][:, :, None]
+                    if not new.all():
+                        hits &= new[:, :, None] | new[:, None, :]
+                    hits[:, np.arange(m), np.arange(m)] = False
+                    a, b = _places(hits.reshape(-1, m))
+                    left.append(few.ravel()[a])
+                    right.append(few[a // m, b])
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
-                yield _results(ids[i], ids[j], _cosines(code[i], code[j]))
+                yield _results(ids, i, j, _cosines(code[i], code[j]))
 
-    named = _edges(state, False, False, part, parts)
-    naming = _edges(state, True, True, part, parts)
-    stats = _edges(state, True, False, part, parts).select("via", "fresh", F.lit(1).alias("n")).unionByName(named.select("via", "fresh", F.lit(0).alias("n"))).groupBy("via").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
-    met, seen = cut_counting(
-        stats.select("via", "fresh", F.greatest(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int").alias("blocks")).filter("NOT fresh OR blocks > 1"), hot=F.count_if(F.expr("fresh AND blocks > 1")), done=F.count_if(F.expr("NOT fresh"))
-    )
-    members = (
-        named.join(state.select("id", "code", "worst"), "id").withColumn("named", F.lit(True))
-        .unionByName(naming.withColumn("named", F.lit(False)))
-    )
+    met, seen = meetings or _meetings(state)
+    met = met.filter(F.col("via") % parts == part)
+    namers = state
     if seen["done"]:
-        members = members.join(_sized(met.filter("NOT fresh").select("via"), seen["done"]), "via", "left_anti")
-    block = F.lit(0)
+        done = _sized(met.filter("NOT fresh").select("via"), seen["done"] // parts)
+        namers = state.join(done, state["id"] == done["via"], "left_anti")
+    named, naming = _edges(namers, False, False, part, parts), _edges(state, True, True, part, parts)
+    if seen["done"]:
+        naming = naming.join(done, "via", "left_anti")
     if seen["hot"]:
-        members = members.join(_sized(met.filter("fresh").select("via", "blocks"), seen["hot"]), "via", "left")
-        own = F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int")
-        places = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("named"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-        members = members.withColumn("block", F.explode(places))
-        block = F.col("block")
-    meetings = members.select(F.xxhash64("via", block).alias("group"), "id", "fresh", "code", "worst")
-    return meetings.repartition("group").sortWithinPartitions("group", "id").mapInArrow(meet, _STATE)
+        hot = _sized(met.filter("fresh").select("via", "blocks"), seen["hot"] // parts)
+        every = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        own = F.coalesce(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int"), F.lit(0))
+        named = named.join(hot, "via", "left").select("via", "id", "fresh", F.explode(every).alias("block"))
+        naming = naming.join(hot, "via", "left").select("via", "id", "fresh", "code", "worst", own.alias("block"))
+    else:
+        named, naming = (rows.withColumn("block", F.lit(0)) for rows in (named, naming))
+    members = named.join(state.select("id", "code", "worst"), "id").unionByName(naming)
+    members = members.select(F.xxhash64("via", "block").alias("group"), "id", "fresh", "code", "worst")
+    return members.repartition("group").sortWithinPartitions("group").mapInArrow(meet, _STATE)
 
 
 def indexed(vectors: DataFrame, width: int = DIMENSIONS) -> DataFrame:
@@ -448,9 +491,9 @@ def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS,
         _release(spark)
     turn = 0
     while seen["fresh"] and (turn < rounds or seen["fresh"] > settled * KEPT * seen["n"]):
-        found, parts = None, min(MEETINGS, 1 + n // 50_000)
+        found, parts, meetings = None, min(MEETINGS, 1 + n // 50_000), _meetings(state)
         for part in range(parts):
-            better = cut(_descend(state, turn, part, parts))
+            better = cut(_descend(state, turn, part, parts, meetings))
             found = better if found is None else found.unionByName(better)
             _release(spark)
         state, seen = cut_counting(_merged(state, found, met=True), **counts)
@@ -459,13 +502,13 @@ def neighbour_graph(points: DataFrame, trees: int = TREES, rounds: int = ROUNDS,
     return state.select("id", "near")
 
 
-def graph_edges(graph: DataFrame) -> DataFrame:
-    """(id, other, cosine, rank) of a graph, ranks from 1."""
+def graph_edges(graph: DataFrame, least: float = -2) -> DataFrame:
+    """(id, other, cosine, rank) of a graph, ranks from 1; of edges with a cosine of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             other, sim, _ = _unpacked(_fixed(batch.column(1), _WIDTH))
-            there = other >= 0
+            there = (other >= 0) & (sim.astype(np.float64) >= least)
             row, rank = np.nonzero(there)
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(other[there]), pa.array(sim[there].astype(np.float64)), pa.array((rank + 1).astype(np.int32))], names=["id", "other", "cosine", "rank"])
 
@@ -485,7 +528,7 @@ def nearest(points: DataFrame, graph: DataFrame) -> DataFrame:
 
 def close_pairs(vectors: DataFrame, points: DataFrame, graph: DataFrame, least: float = CLOSE) -> DataFrame:
     """key_a, key_b (the smaller first), cosine: pairs of the graph whose exact cosine is at least `least`."""
-    near = graph_edges(graph).filter(F.col("cosine") >= least - _SLACK)
+    near = graph_edges(graph, least - _SLACK)
     pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     keys = points.select("id", "key")
     named = (
@@ -495,7 +538,7 @@ def close_pairs(vectors: DataFrame, points: DataFrame, graph: DataFrame, least:
     )
     named = cut(named)
     wanted = named.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    full = vectors.select("key", F.col("embedding").cast("array<double>").alias("e")).join(wanted, "key").groupBy("key").agg(F.max("e").alias("e"))
+    full = cut(vectors.join(wanted, "key").groupBy("key").agg(F.max("embedding").cast("array<double>").alias("e")))  # as wide as they were until then
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     both = named.join(full.select(F.col("key").alias("key_a"), F.col("e").alias("x")), "key_a").join(full.select(F.col("key").alias("key_b"), F.col("e").alias("y")), "key_b")
     cosine = dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))

@@ -171,3 +171,40 @@ def test_registered_search_against_brute_force(spark, data):
         assert rows.key[n] not in found[rows.key[n]]
         hits.append(len(found[rows.key[n]] & set(rows.key[np.argsort(-sim)[:10]])) / 10)
     assert np.mean(hits) >= 0.9
+
+
+def test_parts_of_a_round_share_its_meeting_points(spark, monkeypatch):
+    points = N.indexed(frame(spark, np.random.default_rng(10).normal(size=(460, 64))))
+    ids = [r.id for r in points.orderBy("key").collect()]
+    met = N._merged(state_of(spark, points, {ids[n]: ids[402:405] for n in range(405, 460)}), None, met=True)
+    fresh = state_of(spark, points, {ids[n]: [ids[400]] for n in range(400)} | {ids[400]: [ids[401]]})
+    state = N.cut(fresh.filter(F.col("id").isin(ids[:405])).unionByName(met.filter(F.col("id").isin(ids[405:]))))
+    whole = {tuple(r) for r in N.graph_edges(N._merged(state, N._descend(state, 3), met=True)).collect()}
+    passes, real = [], N._edges
+    monkeypatch.setattr(N, "_edges", lambda *given: passes.append(given) or real(*given))
+    meetings = N._meetings(state)
+    assert meetings[1]["hot"] == 1 and meetings[1]["done"] >= 3
+    found = None
+    for part in range(3):
+        rows = N._descend(state, 3, part, 3, meetings)
+        found = rows if found is None else found.unionByName(rows)
+    assert {tuple(r) for r in N.graph_edges(N._merged(state, found, met=True)).collect()} == whole
+    assert len(passes) == 1 + 2 * 3
+
+
+def test_pairs_of_a_block_come_with_their_exact_cosines():
+    rng = np.random.default_rng(11)
+    codes = rng.integers(-127, 128, size=(700, 64)).astype(np.int8)
+    codes[600:] = codes[:100]
+    known = np.where(np.arange(700) % 2, 0.2, -2).astype(np.float32)
+    unit = N._floats(codes)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -3)
+    for some, worst in ((700, known), (700, np.full(700, -2, np.float32)), (300, known[:300])):
+        i, j, cosine = N._near_in_block(codes[:some], worst)
+        assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i) and (i != j).all()
+        assert (cosine == N._cosines(codes[i], codes[j])).all() and (cosine > worst[i]).all()
+        own = sim[:some, :some]
+        bound = np.sort(own[:, :: 8], axis=1)[:, -3] if some > 512 else np.sort(own, axis=1)[:, -10]
+        wanted = own > np.maximum(worst, bound - 1e-6)[:, None]  # the pair that gave the bound is among them
+        assert set(zip(*np.nonzero(wanted & (own > worst[:, None] + 1e-6)), strict=True)) <= set(zip(i, j, strict=True))
